@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from .bpe import op10_digest
 from .common import table
+from .fingerprint import op7_edits
+from .token_store import op5_tokens
 
 
 def op10_bpe(spark, sf_dir):
     return op10_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+def op5_token_store(spark, sf_dir):
+    return op5_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_multiset_hash(spark, sf_dir):
+    return op7_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_token_store, op7_multiset_hash, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}

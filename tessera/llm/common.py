@@ -85,14 +85,16 @@ def order_bounds(df: DataFrame, key: str, rows_per_bucket: int = 256) -> list[in
     return sorted(set(got or []))
 
 
+def long_array(values: list[int]) -> Column:
+    """A constant array; one literal however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds below the key, found over two levels of literal arrays; 0 for null."""
+    """Number of bounds below the key, found over two levels of constant arrays; 0 for null."""
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    top = F.array(*[F.lit(int(r[-1])) for r in rows])
-    fine = F.array(*[F.array(*[F.lit(int(x)) for x in r]) for r in rows])
+    top, flat = long_array([bounds[min(i + width, len(bounds)) - 1] for i in range(0, len(bounds), width)]), long_array(bounds)
     r = F.size(F.filter(top, lambda b: b < key))
-    inner = F.coalesce(F.get(fine, r), F.array().cast("array<bigint>"))
-    return F.coalesce(r * width + F.size(F.filter(inner, lambda b: b < key)), F.lit(0)).cast("int")
+    return F.coalesce(r * width + F.size(F.filter(F.slice(flat, r * width + 1, F.lit(width)), lambda b: b < key)), F.lit(0)).cast("int")
