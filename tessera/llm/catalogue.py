@@ -5,13 +5,23 @@ from __future__ import annotations
 from .bpe import op10_digest
 from .common import table
 from .fingerprint import op7_edits
+from .pii import op8_digest
+from .secrets import op1_digest
 from .token_store import op5_tokens
 
 
+def op8_pii(spark, sf_dir):
+    return op8_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     return op10_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_secrets(spark, sf_dir):
+    return op1_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     return op5_tokens(table(spark, sf_dir, "documents"))
 
@@ -20,5 +30,5 @@ def op7_multiset_hash(spark, sf_dir):
     return op7_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_store, op7_multiset_hash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op5_token_store, op7_multiset_hash, op8_pii, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
