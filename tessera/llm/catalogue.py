@@ -5,6 +5,9 @@ from __future__ import annotations
 from .bpe import op10_digest
 from .common import table
 from .fingerprint import op7_edits
+from .html_text import op3_text
+from .langid import op2_predict
+from .ngram_join import op9_components
 from .pii import op8_digest
 from .secrets import op1_digest
 from .token_store import op5_tokens
@@ -14,6 +17,10 @@ def op8_pii(spark, sf_dir):
     return op8_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return op9_components(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     return op10_digest(table(spark, sf_dir, "documents"))
 
@@ -22,6 +29,14 @@ def op1_secrets(spark, sf_dir):
     return op1_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark, sf_dir):
+    return op2_predict(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark, sf_dir):
+    return op3_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_store(spark, sf_dir):
     return op5_tokens(table(spark, sf_dir, "documents"))
 
@@ -30,5 +45,5 @@ def op7_multiset_hash(spark, sf_dir):
     return op7_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op5_token_store, op7_multiset_hash, op8_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_language, op3_html_text, op5_token_store, op7_multiset_hash, op8_pii, op9_jaccard_join, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
