@@ -79,8 +79,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         if e - s >= WORDS:
             out.append(np.unique(shingles[s : e - WORDS + 1]))
         elif e > s:
-            short = (words[s:e] * _MULT[: e - s]).sum(dtype=np.uint64) + np.uint64(e - s) * _MULT[WORDS]
-            out.append(_mix(np.array([short])).view(np.int64))
+            out.append(_mix((words[s:e] * _MULT[: e - s]).sum(dtype=np.uint64, keepdims=True) + _MULT[WORDS:] * np.uint64(e - s)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
     return out
@@ -178,7 +177,7 @@ def _keys(x: np.ndarray, boundary: int, token: np.ndarray, count: np.ndarray, ma
         for c in range(need(n), n + 1):
             if (n, c) not in combos:
                 combos[n, c] = np.array(list(combinations(range(n), c)))
-            out.append(_mix(mixed[combos[n, c]].sum(axis=1, dtype=np.uint64) + np.uint64(c) * _MULT[0]).view(np.int64))
+            out.append(_mix(mixed[combos[n, c]].sum(axis=1, dtype=np.uint64) + _MULT[:1] * np.uint64(c)).view(np.int64))
     if n > boundary or n >= need(boundary + 1):
         k = n - need(n) + 1
         hot = np.flatnonzero(maybe[x & (len(maybe) - 1)]) if len(token) else np.zeros(0, np.int64)
