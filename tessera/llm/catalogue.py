@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op10_digest
 from .common import table
+from .decontaminate import op6_contamination
 from .fingerprint import op7_edits
 from .html_text import op3_text
 from .langid import op2_predict
+from .licenses import op4_scan
 from .ngram_join import op9_components
 from .pii import op8_digest
 from .secrets import op1_digest
@@ -37,6 +39,14 @@ def op3_html_text(spark, sf_dir):
     return op3_text(table(spark, sf_dir, "pages"))
 
 
+def op4_licenses(spark, sf_dir):
+    return op4_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return op6_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_store(spark, sf_dir):
     return op5_tokens(table(spark, sf_dir, "documents"))
 
@@ -45,5 +55,5 @@ def op7_multiset_hash(spark, sf_dir):
     return op7_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_language, op3_html_text, op5_token_store, op7_multiset_hash, op8_pii, op9_jaccard_join, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_language, op3_html_text, op4_licenses, op5_token_store, op6_decontamination, op7_multiset_hash, op8_pii, op9_jaccard_join, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}

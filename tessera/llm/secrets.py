@@ -16,8 +16,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices, small_batches
 from .spans import Mapped, digest, map_spans, ordered
 
 KINDS = ("assign", "access", "hex")
@@ -173,5 +175,33 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", out: st
     return map_spans(df, find_secrets, key, text, out)
 
 
+def redact(text: str) -> str:
+    """The text with each run of touching or overlapping secret spans replaced by <kind>, the kind of its first span.
+
+    What a replacement makes anew (two halves that now touch cannot, as a mark stands between them) is no secret."""
+    out, at = [], 0
+    for kind, s, e, *_ in sorted(find_secrets(text), key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            out += [text[at:s], f"<{kind}>"]
+        at = max(at, e)
+    return "".join(out) + text[at:] if out else text
+
+
+def redact_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the secrets in every whole text replaced; null texts and all other columns stay as they are.  A map over rows."""
+    small_batches(df.sparkSession)
+    place = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for s, e in slices([len(t or "") for t in texts]):
+                cols = batch.slice(s, e - s).columns
+                cols[place] = pa.array([t if t is None else redact(t) for t in texts[s:e]], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op1_digest(docs: DataFrame) -> DataFrame:
     return digest(scan_secrets(docs), KINDS, "doc_id", "secrets")
