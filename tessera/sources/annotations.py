@@ -43,7 +43,7 @@ def geom_fields(line: Column) -> list[Column]:
     def number(name: str) -> Column:
         return F.expr("try_cast(regexp_extract(__l, '%s.?: *([0-9]+)', 1) as long)" % name)
 
-    box = "regexp_extract(__l, 'g0.?: *.?([0-9]+) +([0-9]+) +([0-9]+) +([0-9]+)', %d)"
+    box = "regexp_extract(__l, 'g0[^0-9]+([0-9]+) +([0-9]+) +([0-9]+) +([0-9]+)', %d)"
     return [number("id1").alias("actor_id"), number("ts0").alias("frame"), *[F.expr(f"try_cast({box % k} as long)").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"), 1)]]
 
 
