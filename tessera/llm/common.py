@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to a Python worker.  Documents are long; 10,000 of them need not fit in a worker.
 ARROW_ROWS = 500
+#: Bytes of an Arrow batch, about.
+ARROW_BYTES = 8_000_000
 #: Code points or bytes that a Python operator works on at a time.
 CHUNK = 4_000_000
 #: Most buckets that `order_bounds` makes; bounds are driver-side longs.
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches of this session, unless they are bounded lower already."""
+    """Bound the rows of Arrow batches of this session, unless they are bounded lower already, and their bytes unless those are set."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,6 +27,8 @@ DIM, WINDOW, ORDERS = 8192, 1500, (2, 3, 4)
 TRAIN_DOCS, TRAIN_WINDOWS, LANDMARKS = 600, 900, 48
 RIDGE = 0.3
 BATCH = 192
+#: Code points whose windows are made at a time.
+SLICE = 1_000_000
 UNKNOWN = "und"
 
 # Bytes of ASCII that are no letters become a space.
@@ -146,7 +148,7 @@ def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str
     def run(batches):
         for batch in batches:
             langs, texts, keys = (batch.column(i).to_pylist() for i in range(3))
-            for s, e in slices([len(t) for t in texts]):
+            for s, e in slices([len(t) for t in texts], SLICE):
                 data, window, owner = windows(texts[s:e])
                 edge = np.searchsorted(window, np.arange(len(owner) + 1))
                 took = np.concatenate([np.flatnonzero(owner == i)[:4] for i in range(e - s)]) if e > s else []
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(n).to_pylist()
-            for s, e in slices([len(t or "") for t in texts]):
+            for s, e in slices([len(t or "") for t in texts], SLICE):
                 lang, score = shared.value.predict(texts[s:e])
                 yield pa.RecordBatch.from_arrays([*batch.slice(s, e - s).columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:n], "lang_pred", "lang_score"])
 

@@ -34,7 +34,9 @@ from .graph import connected_components
 
 WORDS, PART, WHOLE = 5, 75, 100
 #: Shingles counted together in a task, and the least count at which it reports one.
-COUNT_TOKENS, LOCAL_COUNT = 3_000_000, 2
+COUNT_TOKENS, LOCAL_COUNT = 1_500_000, 2
+#: Code points whose shingles are made at a time, and sets that a task remembers.
+SLICE, REMEMBERED = 500_000, 200_000
 #: Frequent shingles that order the lists: at least this count, and at most so many (16 bytes each, sent to all workers).
 FREQUENT, MOST_FREQUENT = 6, 500_000
 MOST_BOUNDARY = 12
@@ -114,7 +116,7 @@ def _scan(src: DataFrame) -> DataFrame:
         pool, size, seen = [], 0, set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for s, e in slices([len(t or "") for t in texts], 2_000_000):
+            for s, e in slices([len(t or "") for t in texts], SLICE):
                 sets = shingle_sets([t or "" for t in texts[s:e]])
                 ids = [_set_id(x) if len(x) else (None, None) for x in sets]
                 none = pa.nulls(e - s, pa.int64())
@@ -205,12 +207,12 @@ def _postings(src: DataFrame, boundary: int, frequent: tuple[np.ndarray, np.ndar
         maybe[token & (len(maybe) - 1)] = True
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for s, e in slices([len(t or "") for t in texts], 2_000_000):
+            for s, e in slices([len(t or "") for t in texts], SLICE):
                 keys, owner, size = [], [], []
                 for x in shingle_sets([t or "" for t in texts[s:e]]):
                     if not len(x) or (i := _set_id(x)) in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < REMEMBERED:
                         seen.add(i)
                     got = _keys(x, boundary, token, count, maybe, combos)
                     keys.append(got)
@@ -245,7 +247,7 @@ def _candidate_sets(src: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for s, e in slices([len(t or "") for t in texts], 2_000_000):
+            for s, e in slices([len(t or "") for t in texts], SLICE):
                 sets = [x.tobytes() for x in shingle_sets([t or "" for t in texts[s:e]])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
