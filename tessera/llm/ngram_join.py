@@ -15,6 +15,9 @@ Lists are not expanded into all pairs.  In each round every list has a pivot, th
 components are found; lists within one component are done.  Once the pairs across components are few, all of them are verified.
 So a group of n near copies takes about n comparisons, and no link between different components is missed: linked sets share a
 list, and either they are in one component already or the pair is verified.
+
+Pairs are verified in two steps.  A histogram of each set's hashes, of one byte for a bin, bounds the intersection from above;
+whole sets are made, from texts, only for pairs that the bound lets pass.
 """
 
 from __future__ import annotations
@@ -45,6 +48,9 @@ CROSS_PER_ROW, MOST_ROUNDS, PIVOTS = 1.0, 6, 3
 #: Ids of candidates are sent to all workers up to this many (8 bytes each); beyond it texts are joined to them by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Shingles for each bin of a histogram, at most, and the least count of bins.
+BIN_LOAD, LEAST_BINS = 2, 16
+
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -97,6 +103,24 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both) and both > 0
 
 
+def histogram(x: np.ndarray) -> bytes:
+    """Counts of hashes by their low bits; a power of two of bins.  Empty if a bin has more than a byte holds."""
+    bins = max(LEAST_BINS, 1 << (max(1, len(x) // BIN_LOAD) - 1).bit_length())
+    counts = np.bincount(x & (bins - 1), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether histograms (uint8) leave it open that their sets link: bins hold at most the lesser count in common."""
+    if not len(a) or not len(b):
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    a, b = a.astype(np.int64), b.reshape(-1, len(a)).sum(0, dtype=np.int64)
+    most = int(np.minimum(a, b).sum())
+    return WHOLE * most >= PART * (int(a.sum()) + int(b.sum()) - most)
+
+
 def _set_id(x: np.ndarray) -> tuple[int, int]:
     h = blake2b(x.tobytes(), digest_size=16).digest()
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
@@ -239,36 +263,45 @@ def _lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
     return near.where(F.coalesce(WHOLE * F.col("less") >= PART * F.col("n"), F.lit(False)) | F.coalesce(WHOLE * F.col("n") >= PART * F.col("more"), F.lit(False))).select("key", "rep", "n")
 
 
-def _candidate_sets(src: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, tokens (binary) of the representatives, from their texts."""
-    ids = reps.withColumnRenamed("rep", "doc_id")
+def _of_sets(src: DataFrame, reps: DataFrame, make) -> DataFrame:
+    """rep, value (binary): make(shingle set) of the representatives, from their texts."""
+    ids = reps.select(F.col("rep").alias("doc_id"))
     rows = src.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s, e in slices([len(t or "") for t in texts], SLICE):
-                sets = [x.tobytes() for x in shingle_sets([t or "" for t in texts[s:e]])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sets, pa.binary())], names=["rep", "tokens"])
+                values = [make(x) for x in shingle_sets([t or "" for t in texts[s:e]])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(values, pa.binary())], names=["rep", "value"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "rep long, tokens binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "rep long, value binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by whole sets."""
+def _passing(pairs: DataFrame, values: DataFrame, test, dtype) -> DataFrame:
+    """The pairs (a, b) of which test(value of a, value of b) holds."""
     small_batches(pairs.sparkSession)
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+    both = pairs.join(values.select(F.col("rep").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("rep").alias("b"), F.col("value").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
-            ok = [linked(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            ok = [test(np.frombuffer(p.as_buffer(), dtype), np.frombuffer(q.as_buffer(), dtype)) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long").distinct()
+def verified(pairs: DataFrame, histograms: DataFrame, src: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, as (u, v): by the bound of histograms, then by whole sets."""
+    open_pairs = written(_passing(pairs, histograms, may_link, np.uint8), "pairs")
+    reps = open_pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    links = written(_passing(open_pairs, _of_sets(src, reps, lambda x: x.tobytes()), linked, np.int64), "verified")
+    drop_written(open_pairs)
+    return links.toDF("u", "v")
 
 
-def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(lists: DataFrame, histograms: DataFrame, src: DataFrame) -> DataFrame:
     """Links (u, v) that join the same components as all links."""
     spark = lists.sparkSession
     rows = lists.count()
@@ -294,7 +327,7 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
             top = F.min(F.struct(turn.alias("t"), "rep", "n", "comp")).over(w)
             pairs = open_lists.withColumn("p", top).select("rep", "n", "comp", F.col("p.rep").alias("a"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")).where((F.col("comp") != F.col("pc")) & _near_size("n", "pn")).select("a", F.col("rep").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pairs, sets)
+        new = verified(pairs, histograms, src)
         links = written(new if links is None else links.unionByName(new).distinct(), "found")
         drop_written(open_lists)
         if last:
@@ -318,10 +351,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 1
     boundary = choose_boundary(sizes, 1 + float((frequent[1].astype(float) ** 2).sum()) / total)
     lists = written(_lists(_postings(src, boundary, frequent), classes), "lists")
-    sets = written(_candidate_sets(src, lists.select("rep").distinct()), "sets")
+    histograms = written(_of_sets(src, lists.select("rep").distinct(), histogram), "histograms")
     spark._jvm.System.gc()  # shuffle files of the postings go
-    comps = connected_components(_links(lists, sets))
-    drop_written(sets)
+    comps = connected_components(_links(lists, histograms, src))
+    drop_written(histograms)
     drop_written(lists)
     of_class = classes.where("rep is not null").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))

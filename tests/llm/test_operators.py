@@ -159,3 +159,20 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     out = stage["jaccard"](spark, docs, sf)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {d for d in comp if comp[d] == d}
     assert "n_tokens" in cp.run(spark, sf).columns
+
+
+def test_histogram_bound_never_drops_a_link():
+    from tessera.llm.ngram_join import histogram, linked, may_link
+
+    rng = np.random.default_rng(3)
+    dropped = 0
+    for n in (1, 3, 17, 40, 300, 2500):
+        for share in (0.0, 0.5, 0.8, 0.86, 0.9, 1.0):
+            for other in (n, max(1, int(n * 0.8))):
+                common = rng.integers(-(2**62), 2**62, int(share * min(n, other)))
+                a, b = (np.unique(np.concatenate([common, rng.integers(-(2**62), 2**62, m - len(common))])) for m in (n, other))
+                open_ = may_link(*(np.frombuffer(histogram(x), np.uint8) for x in (a, b)))
+                assert open_ or not linked(a, b)
+                dropped += not open_
+    assert dropped > 10
+    assert histogram(np.arange(0, 2**20, 2**10)) == b"" and may_link(np.zeros(0, np.uint8), np.ones(16, np.uint8))
