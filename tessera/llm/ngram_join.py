@@ -12,7 +12,8 @@ The boundary is the size with the least cost, by the numbers of sets of each siz
 by counts of frequent shingles that tasks find (a bounded table: it only makes lists short, any order gives the same links).
 
 Lists are not expanded into all pairs.  In each round every list has a pivot, the others are verified against it, and the links'
-components are found; lists within one component are done.  Once the pairs across components are few, all of them are verified.
+components are found; lists within one component are done.  In a short list, and in one to which a round did little, all pairs
+across components are verified.
 So a group of n near copies takes about n comparisons, and no link between different components is missed: linked sets share a
 list, and either they are in one component already or the pair is verified.
 
@@ -43,8 +44,9 @@ SLICE, REMEMBERED = 500_000, 200_000
 #: Frequent shingles that order the lists: at least this count, and at most so many (16 bytes each, sent to all workers).
 FREQUENT, MOST_FREQUENT = 6, 500_000
 MOST_BOUNDARY = 12
-#: Rounds of pivots end when the pairs across components are at most this many for each row of the lists.
-CROSS_PER_ROW, MOST_ROUNDS, PIVOTS = 1.0, 6, 3
+#: A list's rounds of pivots end when it has at most so many sets (3 in the first round), when a round leaves more than this
+#: share of its pairs across components, and after so many rounds; then all its pairs across components are verified.
+LEAST_LIST, SLOW, MOST_ROUNDS, PIVOTS = 8, 0.5, 6, 3
 #: Ids of candidates are sent to all workers up to this many (8 bytes each); beyond it texts are joined to them by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -304,34 +306,32 @@ def verified(pairs: DataFrame, histograms: DataFrame, src: DataFrame) -> DataFra
 def _links(lists: DataFrame, histograms: DataFrame, src: DataFrame) -> DataFrame:
     """Links (u, v) that join the same components as all links."""
     spark = lists.sparkSession
-    rows = lists.count()
     links: DataFrame | None = None
+    rest, last_open = lists.withColumn("was", F.lit(None).cast("double")), None
     for step in range(MOST_ROUNDS + 1):
         if links is None:
-            now = lists.withColumn("comp", F.col("rep"))
+            now = rest.withColumn("comp", F.col("rep"))
         else:
             comps = connected_components(links)
-            now = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+            now = rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "was", F.coalesce("component", "rep").alias("comp"))
         w = Window.partitionBy("key")
-        open_lists = written(now.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").select("key", "rep", "n", "comp"), "open")
-        per = open_lists.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        cross = per.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)).first()[0] or 0.0
-        if not cross:
+        sized = now.withColumn("own", F.count("*").over(Window.partitionBy("key", "comp")).cast("double")).withColumn("m", F.count("*").over(w).cast("double"))
+        open_lists = written(sized.withColumn("cross", (F.col("m") * F.col("m") - F.sum("own").over(w)) / 2).where("cross > 0").select("key", "rep", "n", "comp", "m", "cross", "was"), "open")
+        if last_open is not None:
+            drop_written(last_open)
+        last_open = open_lists
+        if open_lists.isEmpty():
             break
-        last = step == MOST_ROUNDS or cross <= CROSS_PER_ROW * rows
-        if last:
-            left, right = (open_lists.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "comp")]) for side in "ab")
-            pairs = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & _near_size("n_a", "n_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        else:
-            turn = F.xxhash64("rep", F.lit(step), F.pmod("key", F.lit(PIVOTS)))
-            top = F.min(F.struct(turn.alias("t"), "rep", "n", "comp")).over(w)
-            pairs = open_lists.withColumn("p", top).select("rep", "n", "comp", F.col("p.rep").alias("a"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")).where((F.col("comp") != F.col("pc")) & _near_size("n", "pn")).select("a", F.col("rep").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        whole = F.lit(step == MOST_ROUNDS) | (F.col("m") <= (LEAST_LIST if step else 3)) | F.coalesce(F.col("cross") > SLOW * F.col("was"), F.lit(False))
+        left, right = (open_lists.where(whole).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "comp")]) for side in "ab")
+        pairs = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & _near_size("n_a", "n_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        turn = F.xxhash64("rep", F.lit(step), F.pmod("key", F.lit(PIVOTS)))
+        top = F.min(F.struct(turn.alias("t"), "rep", "n", "comp")).over(w)
+        pivots = open_lists.where(~whole).withColumn("p", top).select("rep", "n", "comp", F.col("p.rep").alias("a"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")).where((F.col("comp") != F.col("pc")) & _near_size("n", "pn")).select("a", F.col("rep").alias("b"))
+        pairs = pairs.unionByName(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(pairs, histograms, src)
         links = written(new if links is None else links.unionByName(new).distinct(), "found")
-        drop_written(open_lists)
-        if last:
-            break
+        rest = open_lists.where(~whole).select("key", "rep", "n", F.col("cross").alias("was"))
     return links if links is not None else spark.createDataFrame([], "u long, v long")
 
 
