@@ -1,9 +1,12 @@
 """HTML extraction with site template removal.
 
-Every element subtree outside the article has a hash of its tags and texts.  Spark counts on how many pages of a host each hash
-occurs; subtrees that recur on many pages of their host are its template and are deleted.  What remains is cut down to the main
-element of the page, without elements whose tag, role or class says that they are not content.  Paragraphs inside an article
-element are not template candidates: articles of a host may quote the same passage.
+Every element subtree has a hash of its tags and texts, inside articles too.  Spark counts on how many pages of a host each hash
+occurs; subtrees that recur on many pages of their host are its template and are deleted.  What remains is cut down to the articles
+of the page (else its main element), without elements whose tag, role or class says that they are not content.
+
+Exact copies of a page count once.  Inside articles the rule is stricter, as articles may quote or copy each other: only blocks are
+candidates, the share is higher, and what counts is in how many different articles a block stands, told apart by their longest text
+outside the block.
 """
 
 from __future__ import annotations
@@ -20,13 +23,19 @@ from .common import slices, small_batches
 
 #: A subtree is template from this many pages of its host, and this share of them, on.
 LEAST_PAGES, LEAST_SHARE = 3, 0.3
+#: The same for blocks inside articles: this share of the pages.
+INSIDE_SHARE = 0.5
 #: Template hashes are sent to all workers up to this many (8 bytes each); beyond it they are joined to their pages.
 BROADCAST_HASHES = 500_000
+#: Hashes that occur on LEAST_PAGES pages are sent to all workers up to this many (8 bytes each) before different pages are counted.
+BROADCAST_CANDIDATES = 2_000_000
 
 # HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: Elements that are template candidates inside articles: blocks that stand alone, no headings, items, cells or inline elements.
+ALONE = frozenset("address aside blockquote center details dialog div dl fieldset figure footer form header menu nav ol p pre section table ul".split())
 DROP = frozenset("aside audio button canvas datalist dialog embed fieldset footer form frameset head iframe input map menu nav noembed noframes noscript object option script select style svg template textarea title video xmp".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body html main aside nav footer header form td th blockquote".split())
@@ -35,6 +44,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion related recommended recommendations replies reply respond share sharing sidebar sidenav social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+# Those of them that tell a reader's comment from an article.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -104,17 +115,20 @@ def unwanted(node: Node, inside: bool) -> bool:
     """Whether tag, role or names say that this is no content; inside: within an article, whose own header is kept."""
     if node.tag in DROP or node.tag == "header" and not inside:
         return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    if not node.attrs or node.tag in ("html", "body", "main"):
         return False
     a = node.attributes()
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or HIDDEN.search(a.get("style", "")):
+    words = NAMES
+    if node.tag == "article":
+        words = COMMENTS
+    elif "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or HIDDEN.search(a.get("style", "")):
         return True
     names = re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", f"{a.get('class', '')} {a.get('id', '')}")
-    return any(x.lower() in NAMES for x in names)
+    return any(x.lower() in words for x in names)
 
 
-def text_of(node: Node, inside: bool = False, template: frozenset | set = frozenset(), hashes: dict | None = None) -> str:
-    """Texts of what is wanted, blocks apart, white space as one space."""
+def text_of(node: Node, inside: bool = False, deleted: frozenset | set = frozenset()) -> str:
+    """Texts of what is left and wanted, blocks apart, white space as one space."""
     out: list[str] = []
     work: list = [(node, inside)]
     while work:
@@ -122,7 +136,7 @@ def text_of(node: Node, inside: bool = False, template: frozenset | set = frozen
         if x.__class__ is str:
             out.append(x)
             continue
-        if x is not node and (unwanted(x, within) or hashes and hashes.get(id(x)) in template):
+        if x is not node and (id(x) in deleted or unwanted(x, within)):
             out.append(" " if x.tag in BLOCK else "")
             continue
         within = within or x.tag == "article"
@@ -133,39 +147,72 @@ def text_of(node: Node, inside: bool = False, template: frozenset | set = frozen
     return " ".join(unescape("".join(out)).split())
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash by id() of every element with text outside articles, made from the leaves up."""
-    order, work = [], [root]
-    while work:
-        x = work.pop()
-        order.append(x)
-        if x.tag != "article":
-            work += [p for p in x.parts if p.__class__ is Node]
-    digest: dict[int, bytes] = {}
-    out: dict[int, int] = {}
-    for x in reversed(order):
-        if x.tag == "article":
-            digest[id(x)] = b"article"
-            continue
-        h, some = blake2b(x.tag.encode(), digest_size=8), False
-        for p in x.parts:
-            if p.__class__ is Node:
-                h.update(b"<" + digest[id(p)])
-                some = some or id(p) in out
-            elif p and not p.isspace():
-                h.update(b"t" + " ".join(p.split()).encode())
-                some = True
-        digest[id(x)] = h.digest()
-        if some and x.tag not in ("html", "body", "main"):
-            out[id(x)] = int.from_bytes(h.digest(), "little", signed=True)
-    return out
+class Subtree:
+    __slots__ = ("node", "up", "article", "state", "digest", "start", "end")
+
+    def __init__(self, node: Node, up: int, article: int, start: int):
+        self.node, self.up, self.article, self.start, self.end = node, up, article, start, start
+        self.state, self.digest = blake2b(node.tag.encode(), digest_size=8), b""
+
+
+def _long(b: bytes) -> int:
+    return int.from_bytes(b, "little", signed=True)
 
 
-def _find(root: Node, want) -> list[Node]:
+def _longest_outside(texts: list[str], inner: tuple[int, int], outer: tuple[int, int], top: dict) -> str:
+    """The longest of texts[outer] that is not in texts[inner]; "" for none.  top holds what was found for whole articles."""
+    if outer not in top:
+        top[outer] = sorted(range(*outer), key=lambda i: (-len(texts[i]), texts[i]))
+    return next((texts[i] for i in top[outer] if not inner[0] <= i < inner[1]), "")
+
+
+def subtree_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
+    """Hash of the page, and (id(), hash, context) of every template candidate, made from the leaves up.
+
+    The lowest bit of a hash tells candidates inside articles.  The context tells pages, or articles, apart."""
+    all_: list[Subtree] = []
+    texts: list[str] = []
+    work: list = [(root, -1, -1)]
+    while work:
+        x, up, article = work.pop()
+        if x is None:
+            t = all_[up]
+            t.end, t.digest = len(texts), t.state.digest()
+            if t.up >= 0:
+                all_[t.up].state.update(b"<" + t.digest)
+        elif x.__class__ is str:
+            if x and not x.isspace():
+                texts.append(" ".join(x.split()))
+                all_[up].state.update(b"t" + texts[-1].encode())
+        else:
+            n = len(all_)
+            all_.append(Subtree(x, up, article, len(texts)))
+            inner = n if article < 0 and x.tag == "article" else article
+            work.append((None, n, 0))
+            work += [(p, n, inner) for p in reversed(x.parts)]
+    page = _long(all_[0].digest)
+    out, top, contexts = [], {}, {}
+    for t in all_:
+        if t.end == t.start or t.node.tag in ("html", "body", "main", "article"):
+            continue
+        if t.article < 0:
+            out.append((id(t.node), _long(t.digest) & ~1, page))
+        elif t.node.tag in ALONE:
+            a = all_[t.article]
+            other = _longest_outside(texts, (t.start, t.end), (a.start, a.end), top)
+            if other not in contexts:
+                contexts[other] = _long(blake2b(other.encode(), digest_size=8).digest())
+            out.append((id(t.node), _long(t.digest) | 1, contexts[other]))
+    return page, out
+
+
+def _find(root: Node, want, deleted: frozenset | set = frozenset()) -> list[Node]:
     """Outermost elements for which want() holds, in page order."""
     out, work = [], [root]
     while work:
         x = work.pop()
+        if id(x) in deleted:
+            continue
         if x is not root and want(x):
             out.append(x)
         elif x is root or not unwanted(x, False):
@@ -174,14 +221,15 @@ def _find(root: Node, want) -> list[Node]:
 
 
 def main_text(root: Node, template: frozenset | set) -> str:
-    """The text of the longest article; else of the main element; else of the whole page.  Without an article, template
-    subtrees are deleted first."""
-    articles = _find(root, lambda x: x.tag == "article")
-    if articles:
-        return max((text_of(a, True) for a in articles), key=len)
-    hashes = subtree_hashes(root) if template else None
-    mains = _find(root, lambda x: x.tag == "main" or 'role="main"' in x.attrs)
-    return max((text_of(a, False, template, hashes) for a in mains or [root]), key=len)
+    """The text of all articles that are not comments; if they have none that of the longest main element; else of the whole page.
+    Template subtrees are deleted first."""
+    deleted = {i for i, h, _ in subtree_hashes(root)[1] if h in template} if template else frozenset()
+    articles = _find(root, lambda x: x.tag == "article" and not unwanted(x, True), deleted)
+    text = " ".join(filter(None, (text_of(a, True, deleted) for a in articles)))
+    if text:
+        return text
+    mains = _find(root, lambda x: x.tag == "main" or 'role="main"' in x.attrs, deleted)
+    return max((text_of(a, False, deleted) for a in mains or [root]), key=len)
 
 
 def host_of(url: str | None) -> str:
@@ -189,24 +237,58 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _on_host(host: str, h: int) -> int:
+    """One number of a host and a hash."""
+    return _long(blake2b(h.to_bytes(8, "little", signed=True) + host.encode(), digest_size=8).digest())
+
+
 def template_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, hash of subtrees that recur on LEAST_PAGES pages and LEAST_SHARE of the pages of their host.
+    """host, hash of subtrees that recur on LEAST_PAGES different pages and LEAST_SHARE (inside articles INSIDE_SHARE) of the pages
+    of their host.
+
+    The first pass counts rows and leaves hashes that can be template; the second counts different pages of those.  Counts are
+    combined before each shuffle, so a host with most pages is no hot task."""
+    from .common import written
 
-    A page gives each of its hashes once; counts are combined before the shuffle, so a host with most pages is no hot task."""
     src = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    spark = pages.sparkSession
+
+    def rows(batches):
+        for batch in batches:
+            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                host = host_of(u)
+                mine = {_on_host(host, x) for _, x, _ in subtree_hashes(parse(h or ""))[1]}
+                yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64())], names=["k"])
+
+    seen = written(src.mapInArrow(_joined(rows), "k long").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("k"), "candidates")
+    few = seen.count() <= BROADCAST_CANDIDATES
+    among = spark.sparkContext.broadcast(frozenset(r.k for r in seen.toLocalIterator()) if few else None)
 
     def run(batches):
         for batch in batches:
-            hosts, hashes = [], []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = set(subtree_hashes(parse(h or "")).values()) | {0}  # 0 stands for the page
-                hosts += [host_of(u)] * len(mine)
-                hashes += mine
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                host = host_of(u)
+                page, found = subtree_hashes(parse(h or ""))
+                some = among.value
+                mine = [*{(x, c) for _, x, c in found if some is None or _on_host(host, x) in some}, (None, page)]  # null stands for the page
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(mine), pa.string()), pa.array([x for x, _ in mine], pa.int64()), pa.array([c for _, c in mine], pa.int64())], names=["host", "hash", "context"])
+
+    counts = written(src.mapInArrow(_joined(run), "host string, hash long, context long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "counts")
+    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
+    share = F.when(F.col("hash").bitwiseAND(1) == 1, INSIDE_SHARE).otherwise(LEAST_SHARE)
+    return counts.where("hash is not null").join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+
+
+def _joined(rows):
+    """rows() with one batch out for each batch in."""
+
+    def run(batches):
+        for batch in batches:
+            got = list(rows([batch]))
+            if got:
+                yield pa.Table.from_batches(got).combine_chunks().to_batches()[0] if sum(x.num_rows for x in got) else got[0]
 
-    counts = src.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "hash")
+    return run
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -230,7 +312,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", keep: t
         def rows(batches):
             for batch in batches:
                 for r, u, h in zip(*(c.to_pylist() for c in batch.columns)):
-                    mine = list(set(subtree_hashes(parse(h or "")).values()))
+                    mine = list({x for _, x, _ in subtree_hashes(parse(h or ""))[1]})
                     yield pa.RecordBatch.from_arrays([pa.array([r] * len(mine), pa.int64()), pa.array([host_of(u)] * len(mine), pa.string()), pa.array(mine, pa.int64())], names=["row", "host", "hash"])
 
         own = src.select(row.alias("row"), "u", "h").mapInArrow(rows, "row long, host string, hash long").distinct().join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("own"))

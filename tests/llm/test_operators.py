@@ -134,6 +134,21 @@ def test_pages_without_markup(spark):
     assert got[1][0] == "One & two three." and got[2] == got[3] == ("", 0)
 
 
+def test_template_inside_articles(spark):
+    own = [f"Own text {w} of page {i} which goes on for long enough." for i, w in enumerate(WORDS)]
+    page = lambda i: f"<body><div><p>Menu</p></div><article><h2>Title</h2><p>{own[i]}</p><p>Read our terms.</p></article><article><p>Part {i}</p></article><article class='comment'>me {i}</article></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(12)]
+    # copies of one article, and a passage quoted on few pages, are no template
+    copied = "<body><p>Menu {}</p><article><p>All the same text.</p><p>More of the same.</p></article></body>"
+    rows += [(100 + i, f"http://b.org/{i}", copied.format(i)) for i in range(5)]
+    quoted = "<body><article><p>{} goes on and on.</p><p>{}</p></article></body>"
+    rows += [(200 + i, f"http://c.org/{i}", quoted.format(own[i], "Quoted." if i < 4 else f"Other {i}.")) for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.op3_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {own[i]} Part {i}" for i in range(12))
+    assert all(got[100 + i] == "All the same text. More of the same." for i in range(5))
+    assert all(got[200 + i].endswith("on. Quoted." if i < 4 else f"Other {i}.") for i in range(12))
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_empty_tables(spark, name, tmp_path):
     for t in ("documents", "pages", "benchmark"):
