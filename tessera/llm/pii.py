@@ -3,6 +3,8 @@
 Base patterns run on the source text.  Then transducers rewrite it step by step, each character of the result remembering its
 source span: look-alike letters and digits and invisible characters, spelled digits, at/dot disguises.  Identifiers found in the
 rewritten text are mapped back, and added where the rewriting took part in them.
+
+Each transducer has a cheap test that lets all texts pass in which it would rewrite something.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ LEAST_DIGITS = 4
 
 
 NUMERALS = frozenset([*SPELLED, *SIGNS])
+LETTERS = re.compile(r"[^\W\d_]+")
+# Letters that re.I takes for ASCII ones and lower() does not.
+FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 # Last labels that an address in bare words ("name at host dot com") must end with.
 LAST_LABELS = frozenset("com org net edu gov info biz io co ai app dev me uk de fr es eu it nl ch at be us ca au in jp cn br pl se no dk fi ie pt mx ar example test".split())
 
@@ -63,6 +68,8 @@ DOT = r"(?:\x20*[\[({<]\x20*(?:dot|punkt|punto|point|\.)\x20*[\])}>]\x20*|\x20+(
 DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*?)({AT})([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+)", re.I)
 AT_RE, DOT_RE = re.compile(AT, re.I), re.compile(DOT, re.I)
 AT_HINT = re.compile(r"[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]|\x20(?:at|arroba|arobase)\x20|@", re.I)
+#: Signs of an address that counts as disguised without a disguised dot.
+SPACED = re.compile(r"[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]|\x20@|@\x20", re.I)
 DOT_HINT = re.compile(r"[\[({<]\x20*(?:dot|punkt|punto|point|\.)\x20*[\])}>]|\x20(?:dot|punkt|punto|point)\x20", re.I)
 
 
@@ -104,7 +111,7 @@ def _digits(m: re.Match) -> str | None:
     """A run of spelled digits as digits; None unless words take part and it has LEAST_DIGITS digits."""
     out, words = [], 0
     for x in ONE.findall(m[0]):
-        low = x.lower()
+        low = x.translate(FOLD).lower()
         if low in SPELLED or low in SIGNS:
             out.append(SPELLED.get(low) or SIGNS[low])
             words += low in SPELLED
@@ -117,7 +124,7 @@ def _digits(m: re.Match) -> str | None:
 def _address(m: re.Match) -> str | None:
     """A disguised address with plain signs; None if neither sign was disguised, or a bare "at" has no disguised dot with it."""
     at, host = m[2], m[3]
-    bare = at.strip().lower() in ("at", "arroba", "arobase") and not DOT_HINT.search(host)
+    bare = at.strip().isalpha() and not DOT_HINT.search(host)
     if bare or at == "@" and not DOT_HINT.search(m[1] + host):
         return None
     if DOT_HINT.search(host) and "[" not in host and "(" not in host and re.split(DOT_RE, host)[-1].lower() not in LAST_LABELS:
@@ -140,11 +147,11 @@ def normalise(text: str) -> Mapped:
     now = Mapped(text)
     if not _latin(text) and ALIKE.search(text):
         now = now.chars(TABLE)
-    low = now.text.lower()
-    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
+    # a run has two numerals or more, with digits and separators between them only
+    words = LETTERS.findall((now.text if now.text.isascii() else now.text.translate(FOLD)).lower())
     if b"\1\1" in bytes([w in NUMERALS for w in words]):
         now = now.sub(RUN, _digits)
-    if ("dot" in low or "punkt" in low or "punto" in low or "point" in low or ")" in low or "]" in low or "}" in low or ">" in low) and AT_HINT.search(now.text):
+    if SPACED.search(now.text) or DOT_HINT.search(now.text) and AT_HINT.search(now.text):
         now = now.sub(DISGUISED, _address)
     return now
 
