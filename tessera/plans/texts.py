@@ -117,6 +117,22 @@ def v08_forbidden(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[text.rule_hit(F.col("text"), n).alias(n) for n in ("camera", "seconds")])
 
 
+def _found(rules):
+    return ", ".join(f"regexp_matches(coalesce(text, ''), '{text.any_of(patterns)}') AS {name}" for name, patterns in rules.items())
+
+
+@query(f"SELECT doc_id, {_found(text.LEAKS)} FROM documents")
+def v03_all_token_leaks(spark, sf_dir):
+    """Every group of raw tokens of the reference; a text counts as naturalised."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[text.pattern_hit(F.col("text"), p).alias(n) for n, p in text.LEAKS.items()])
+
+
+@query(f"SELECT conv_id, turn, {_found(text.FORBIDDEN)} FROM conversations")
+def v08_all_forbidden(spark, sf_dir):
+    """Every forbidden pattern of the reference; a turn counts as of a restricted category."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[text.pattern_hit(F.col("text"), p).alias(n) for n, p in text.FORBIDDEN.items()])
+
+
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('42::' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) WHERE r <= 25")
 def e01_stratified_sample(spark, sf_dir):
     w = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("42::"), F.col("doc_id").cast("string"))), "doc_id")

@@ -1,12 +1,15 @@
 """Operators on small fixtures with ties, nulls and empty tables."""
 
+import random
+import re
 from itertools import product
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import geometry
+from tessera.functions import geometry, text
 from tessera.operators import graph, intervals, selection
 from tessera.sources import annotations
 
@@ -78,3 +81,24 @@ def test_components_equal_brute_force(spark, pairs):
             label[u] = label[v] = min(label[u], label[v])
     got = graph.connected_components(spark.createDataFrame(pairs, "u long, v long"))
     assert {(r.node, r.component) for r in got.collect()} == set(label.items())
+
+
+def test_leak_and_forbidden_patterns_as_python_reads_them(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    texts = ["127 seconds", "frame 3814", "127.13 - 133.43", "start_sec", "entity_a", "{name}", "__X__", "evt_x", "cluster_12", "person_opens_trunk", "45 Seconds", "at time 45", "On camera", "camera G33", "12s–180s", "around the 5", None, ""]
+    flagged = {"127 seconds": "timestamp", "frame 3814": "timestamp", "127.13 - 133.43": "timestamp", "start_sec": "field", "entity_a": "field", "{name}": "template", "__X__": "template", "evt_x": "template", "cluster_12": "template"}
+    assert {(x, n) for x in texts[:9] for n, ps in text.LEAKS.items() if any(re.search(p, x) for p in ps)} == set(flagged.items())
+    rng = random.Random(1)
+    bits = "12 127 5 .13 .5 - – s S ſ second SECONDS ſeconds at on camera cAmera G frame fRames around the time tİme start_sec entity_ a é ٣ ² \u00a0 \x1f _ __ { } x evt_ cluster_ person_sits_down \n ( .".split(" ")
+    texts += ["".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for name, rules, where in (("v03_all_token_leaks", text.LEAKS, "documents"), ("v08_all_forbidden", text.FORBIDDEN, "conversations")):
+        key = "doc_id" if where == "documents" else "conv_id"
+        want = {i: [bool(x) and any(re.search(p, x) is not None for p in ps) for ps in rules.values()] for i, x in enumerate(texts)}
+        got = {r[key]: [r[n] for n in rules] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == want
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW {where} AS SELECT * FROM '{tmp_path}/{where}.parquet/*.parquet'")
+        assert {r[0]: list(r[1:]) for r in con.sql(f"SELECT {key}, {', '.join(rules)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()} == want
