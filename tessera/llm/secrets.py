@@ -4,6 +4,9 @@ The source text is the first layer.  Every layer is scanned; then its percent es
 base64 runs are decoded, and what comes out compressed is unpacked.  Each new text is a layer of the worklist, until no layer
 gives a new one: a layer whose text was seen before at the same source span is dropped, which also ends cycles.  Layers remember
 the source span of each character, so findings map back to the document.
+
+Base64 runs are also joined over line breaks.  Bytes that are not nearly all printable UTF-8 are read as Latin-1.  Streams that
+unpack to more than a block are read block by block; blocks end and overlap at line ends.
 """
 
 from __future__ import annotations
@@ -11,9 +14,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import io
 import lzma
 import re
 import zlib
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +29,11 @@ from .common import slices, small_batches
 from .spans import Mapped, digest, map_spans, ordered
 
 KINDS = ("assign", "access", "hex")
-#: Most bytes that one compressed run may unpack to; a longer one is left packed (a guard against decompression bombs).
-UNPACK_BYTES = 16_000_000
+#: Most bytes of a compressed run that are unpacked and scanned at a time (decompression bombs stay small), of which so many are in
+#: the next block again.
+UNPACK_BYTES, OVERLAP = 16_000_000, 65_536
+#: Bytes that a decompressor returns at once.
+PIECE = 1_000_000
 #: Shortest base64 run that is decoded.
 BASE64_CHARS = 16
 
@@ -38,6 +47,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_CHARS)
+#: The same over line breaks.  Possessive runs and the look-behind keep long runs linear.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+={0,2}" % BASE64_CHARS)
+PART = re.compile(r"[A-Za-z0-9+/_-]+")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,59 +65,115 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def unpack(data: bytes) -> bytes | None:
-    """What a gzip, zlib, bzip2, xz or zstandard stream holds; None if data is none of them, or too long."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=1 << 26)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
+def _decompressor(head: bytes):
+    """For the first bytes of a gzip, zlib, bzip2 or xz stream; None for others."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=1 << 26)
+    return None
 
-            d = zstandard.ZstdDecompressor().decompressobj()
-            out = d.decompress(data)
-            return out if 0 < len(out) <= UNPACK_BYTES else None
-        else:
-            return None
-        out = d.decompress(data, UNPACK_BYTES + 1)
-        return out if 0 < len(out) <= UNPACK_BYTES else None
-    except Exception:  # noqa: BLE001 - not such a stream after all
-        return None
 
+class _Chunks(io.RawIOBase):
+    """Chunks as a file."""
+
+    def __init__(self, chunks):
+        self.chunks, self.rest = chunks, b""
 
-def readable(data: bytes) -> str | None:
-    """The text of bytes that are UTF-8 and nearly all printable."""
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        self.rest = self.rest or next(self.chunks, b"")
+        out, self.rest = (self.rest, b"") if n < 0 else (self.rest[:n], self.rest[n:])
+        return out
+
+
+def _pieces(data: bytes, more):
+    """What the stream that begins with data and goes on with more unpacks to, member by member, as far as it is sound."""
+    try:
+        if data[:4] == b"\x28\xb5\x2f\xfd":
+            import zstandard
+
+            reader = zstandard.ZstdDecompressor().stream_reader(_Chunks(chain([data], more)), read_across_frames=True)
+            while out := reader.read(PIECE):
+                yield out
+            return
+        d = _decompressor(data)
+        while d is not None:
+            if out := d.decompress(data, PIECE):
+                yield out
+            if d.eof:
+                data = d.unused_data or next(more, b"")
+                d = _decompressor(data)
+            else:
+                data = getattr(d, "unconsumed_tail", b"")
+                if not data and getattr(d, "needs_input", True):
+                    data = next(more, b"")
+                    if not data:
+                        return
+    except Exception:  # noqa: BLE001 - not such a stream after all, or broken off
+        return
+
+
+def unpack(data: bytes):
+    """Blocks of what a gzip, zlib, bzip2, xz or zstandard stream holds, also one in another; none if data is none of them."""
+    if not _is_stream(data):
+        return
+    pieces = _pieces(data, iter(()))
+    first = next(pieces, b"")
+    for _ in range(100):
+        if not _is_stream(first):
+            break
+        inner = _pieces(first, pieces)
+        held = next(inner, b"")
+        if not held:
+            break
+        pieces, first = inner, held
+    block = bytearray(first)
+    for piece in pieces:
+        block += piece
+        if len(block) > UNPACK_BYTES:
+            cut = block.rfind(b"\n", 0, UNPACK_BYTES) + 1 or UNPACK_BYTES
+            yield bytes(block[:cut])
+            back = max(1, cut - OVERLAP)
+            line = block.find(b"\n", back, cut - 1) + 1
+            del block[: line or back]
+    if block:
+        yield bytes(block)
+
+
+def _is_stream(data: bytes) -> bool:
+    return data[:4] == b"\x28\xb5\x2f\xfd" or _decompressor(data) is not None
+
+
+def readable(data: bytes) -> str:
+    """The text of bytes that are UTF-8 and nearly all printable; else each byte as a character."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
+        return data.decode("latin-1")
     odd = sum(1 for c in text if not (c.isprintable() or c in "\t\r\n"))
-    return text if text and odd * 20 <= len(text) else None
+    return text if odd * 20 <= len(text) else data.decode("latin-1")
 
 
 def _texts(data: bytes):
-    """The readable texts in bytes: themselves, or what they unpack to; with whether positions of bytes are kept."""
-    kept = True
-    seen = set()
-    while data is not None and data not in seen:
-        seen.add(data)
-        inner = unpack(data)
-        if inner is None:
-            text = readable(data)
-            if text:
-                yield text, kept
-            return
-        data, kept = inner, False
+    """The texts in bytes: blocks of what they unpack to, or else themselves; with whether positions of bytes are kept."""
+    packed = False
+    for block in unpack(data):
+        packed = True
+        yield readable(block), False
+    if data and not packed:
+        yield readable(data), True
 
 
 def _byte_layer(text: str, kept: bool, start: np.ndarray, end: np.ndarray) -> Mapped:
     """A layer of decoded bytes; start and end are the source spans of the bytes."""
     if not kept:
         return Mapped(text, np.full(len(text), start[0]), np.full(len(text), end[-1]))
-    if text.isascii():
+    if len(text) == len(start):
         return Mapped(text, start, end)
     sizes = np.array([len(c.encode()) for c in text])
     stop = np.cumsum(sizes)
@@ -135,39 +203,64 @@ def decoded_layers(layer: Mapped):
                 yield new
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        for inner, kept in _texts(data):
-            i = np.arange(len(data))
-            a = m.start() + i * 4 // 3
-            b = np.minimum(m.start() + (4 * (i + 1) + 2) // 3, m.start() + len(run))
-            yield _byte_layer(inner, kept, layer.start[a], layer.end[b - 1])
+        yield from _base64_layers(layer, run, np.arange(m.start(), m.start() + len(run)))
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [x.span() for x in PART.finditer(text, *m.span())]
+        for group in _groups(lines):
+            yield from _base64_layers(layer, "".join(text[s:e] for s, e in group), np.concatenate([np.arange(s, e) for s, e in group]))
+
+
+def _groups(lines: list[tuple[int, int]]):
+    """All lines, and runs of lines of one length with the shorter one after them (lines before them may belong to no run)."""
+    yield lines
+    i = 0
+    while i < len(lines):
+        size, k = lines[i][1] - lines[i][0], i + 1
+        while k < len(lines) and lines[k][1] - lines[k][0] == size:
+            k += 1
+        k += k < len(lines) and lines[k][1] - lines[k][0] < size
+        if 1 < k - i < len(lines):
+            yield lines[i:k]
+        i = k
+
+
+def _base64_layers(layer: Mapped, run: str, at: np.ndarray):
+    """Layers of a base64 run whose characters stand at these places of the layer's text."""
+    n = len(run) - (len(run) % 4 == 1)
+    try:
+        data = base64.b64decode(run[:n].replace("-", "+").replace("_", "/") + "=" * (-n % 4))
+    except binascii.Error:
+        return
+    for inner, kept in _texts(data):
+        i = np.arange(len(data))
+        yield _byte_layer(inner, kept, layer.start[at[i * 4 // 3]], layer.end[at[np.minimum((4 * (i + 1) + 2) // 3, n) - 1]])
 
 
 def find_secrets(text: str) -> list[tuple]:
     """(kind, start, end, base, value): base matches of the text and those of all decoded layers, mapped to the text."""
     base = base_spans(text)
     found: set = set()
-    work = [Mapped(text)] if "%" in text or "\\" in text or BASE64.search(text) else []
-    seen = {(text, 0, len(text))}
-    first = True
+    work = [decoded_layers(Mapped(text))] if "%" in text or "\\" in text or BASE64.search(text) else []
+    seen = {(_mark(text), 0, len(text))}
     while work:
-        layer = work.pop()
-        if not first:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = (_mark(layer.text), int(layer.start.min()), int(layer.end.max())) if layer.text else None
+        if key and key not in seen:
+            seen.add(key)
             for kind, s, e in base_spans(layer.text):
                 found.add((kind, *layer.source(s, e), layer.text[s:e]))
-        first = False
-        for new in decoded_layers(layer):
-            key = (new.text, int(new.start.min()), int(new.end.max())) if new.text else None
-            if key and key not in seen:
-                seen.add(key)
-                work.append(new)
+            work.append(decoded_layers(layer))
     return ordered(found, text, KINDS, base)
 
 
+def _mark(text: str) -> bytes:
+    """What stands for a text among the texts seen."""
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "secrets") -> DataFrame:
     """key and out: array of struct kind, start, end, base, value of every whole text; null texts have none.
 

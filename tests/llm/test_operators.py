@@ -79,6 +79,31 @@ def test_secrets_base_and_decoded(docs):
     assert "hunter2345" not in secrets.redact("password = hunter2345") and hidden not in secrets.redact(f"see {hidden} ok")
 
 
+def test_secrets_in_wrapped_binary_and_large_layers():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    values = lambda text: {x[4] for x in secrets.find_secrets(text)}
+    secret = b"password = hunter2345678"
+    plain = b"some text before it, so that the secret stands across the end of " + secret + b" and more of it"
+    wrapped = base64.encodebytes(plain).decode()
+    assert secret.decode() in values(wrapped) and secret.decode() in values("-----BEGIN CERTIFICATE-----\n" + wrapped)
+    spans = [x for x in secrets.find_secrets("so: " + wrapped) if x[4] == secret.decode()]
+    assert all("so: " not in ("so: " + wrapped)[s:e] for _, s, e, *_ in spans)
+    noise = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8).tobytes()
+    tar = bytes(900) + secret + b"\n" + bytes(900)
+    for data in (tar, b"\xff\xfe" + secret + b"\n\xff", noise + b"\n" + secret + b"\n" + noise):
+        for pack in (bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress, lambda x: gzip.compress(bz2.compress(x)), lambda x: gzip.compress(b"one\n") + gzip.compress(x)):
+            assert secret.decode() in values(base64.encodebytes(pack(data)).decode())
+    large = b"a line of it\n" * 1_300_000
+    for pack in (gzip.compress, lambda x: zstandard.compress(x), bz2.compress):
+        assert values(base64.b64encode(pack(large + secret + b"\n" + large[:2_000_000])).decode()) == {secret.decode()}
+
+
 def test_redaction_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "token: abcdefgh", "k"), (2, None, None)], "doc_id long, text string, kind string")
     assert [tuple(r) for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == [(1, secrets.redact("token: abcdefgh"), "k"), (2, None, None)]
