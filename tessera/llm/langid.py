@@ -13,10 +13,11 @@ landmarks, then times that matrix.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches
@@ -25,6 +26,8 @@ DIM, WINDOW, ORDERS = 8192, 1500, (2, 3, 4)
 #: The model is fitted on about this many labelled documents of each language at most (those of the lowest hash of doc_id), and
 #: this many windows of each; documents far beyond the bound add nothing to a model of this size.
 TRAIN_DOCS, TRAIN_WINDOWS, LANDMARKS = 600, 900, 48
+#: Windows of one document in the sample at most, by hash over its whole text.
+DOC_WINDOWS = 4
 RIDGE = 0.3
 BATCH = 192
 #: Code points whose windows are made at a time.
@@ -129,17 +132,17 @@ class Model:
         return lang, score
 
 
-def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """A model fitted on a bounded sample of the labelled rows of docs, by the hash of the key.
+def training_windows(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame | None:
+    """l, k, w, bits (DIM / 8 bytes of packed presence) of windows w of labelled rows: for each language the TRAIN_WINDOWS of lowest
+    hash of DOC_WINDOWS each of about TRAIN_DOCS rows.  None without labelled rows.
 
-    Labels and keys are counted over all rows; only the sample's texts are read further, and only packed presence rows
-    (DIM / 8 bytes each) come to the driver."""
+    Labels and keys are counted over all rows; only the sample's texts are read further."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     share = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1_000_000)).cast("long")
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
-        return Model([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0), np.float32))
+        return None
     limit = F.lit(0)
     for value, n in sorted(counts.items()):
         limit = F.when(F.col(lang) == value, F.lit(int(1_000_000 * TRAIN_DOCS / n) + 1)).otherwise(limit)
@@ -151,13 +154,27 @@ def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str
             for s, e in slices([len(t) for t in texts], SLICE):
                 data, window, owner = windows(texts[s:e])
                 edge = np.searchsorted(window, np.arange(len(owner) + 1))
-                took = np.concatenate([np.flatnonzero(owner == i)[:4] for i in range(e - s)]) if e > s else []
-                for w in took:
-                    bits = np.packbits(presence(data[edge[w] : edge[w + 1]], window[edge[w] : edge[w + 1]] - w, 1)).tobytes()
-                    i = s + int(owner[w])
-                    yield pa.RecordBatch.from_arrays([pa.array([langs[i]]), pa.array([keys[i]]), pa.array([int(w)], pa.int64()), pa.array([bits], pa.binary())], names=["l", "k", "w", "bits"])
+                first = np.searchsorted(owner, np.arange(e - s + 1))
+                for i in range(e - s):
+                    at = sorted(range(first[i + 1] - first[i]), key=lambda w: _window_hash(keys[s + i], w))[:DOC_WINDOWS]
+                    bits = [np.packbits(presence(data[edge[w] : edge[w + 1]], window[edge[w] : edge[w + 1]] - w, 1)).tobytes() for w in first[i] + np.array(at, int)]
+                    h = [_window_hash(keys[s + i], w) for w in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[s + i]] * len(at)), pa.array([keys[s + i]] * len(at)), pa.array(at, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, pa.binary())], names=["l", "k", "w", "h", "bits"])
+
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k", "w", "bits"))
+    return src.mapInArrow(run, "l string, k string, w long, h long, bits binary").withColumn("rank", rank).where(F.col("rank") <= TRAIN_WINDOWS).select("l", "k", "w", "bits")
+
 
-    got = sorted((r.l, r.k, r.w, bytes(r.bits)) for r in src.mapInArrow(run, "l string, k string, w long, bits binary").orderBy(F.xxhash64("k", "bits")).limit(len(counts) * TRAIN_WINDOWS).collect())
+def _window_hash(key: str, w: int) -> int:
+    return int.from_bytes(blake2b(f"{key}/{w}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+    """A model fitted on the training windows of docs; only these come to the driver."""
+    sample = training_windows(docs, text, lang, key)
+    if sample is None:
+        return Model([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0), np.float32))
+    got = sorted((r.l, r.k, r.w, bytes(r.bits)) for r in sample.collect())
     order = np.random.default_rng(2).permutation(len(got))
     x = np.unpackbits(np.frombuffer(b"".join(got[i][3] for i in order), np.uint8).reshape(-1, DIM // 8), axis=1)
     return Model.fit(x, [got[i][0] for i in order])

@@ -170,6 +170,14 @@ def test_languages_of_held_out_documents(spark):
     assert got >= 0.97
 
 
+def test_training_windows_of_each_language(spark):
+    rows = [(i, f"{WORDS[i % 12]} and so on " * 800, "en") for i in range(400)] + [(1000 + i, "kurz und gut", "de") for i in range(5)]
+    got = langid.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    count = {lang: sum(r.l == lang for r in got) for lang in ("en", "de")}
+    assert count == {"en": langid.TRAIN_WINDOWS, "de": 5}
+    assert max(r.w for r in got) >= langid.DOC_WINDOWS
+
+
 def test_pages_without_markup(spark):
     pages = spark.createDataFrame([(1, "http://a.org/1", "<html><body><nav>menu</nav><article><p>One &amp;  two\n three.</p></article><script>x()</script></body></html>"), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.op3_text(pages).collect()}
