@@ -7,6 +7,9 @@ of the page (else its main element), without elements whose tag, role or class s
 Exact copies of a page count once.  Inside articles the rule is stricter, as articles may quote or copy each other: only blocks are
 candidates, the share is higher, and what counts is in how many different articles a block stands, told apart by their longest text
 outside the block.
+
+On large hosts a share of the pages is many pages, so a block that keeps its place in its parent (from its start or its end) is
+template from a fixed number of pages on.  Quoted passages have no fixed place.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import slices, small_batches
 LEAST_PAGES, LEAST_SHARE = 3, 0.3
 #: The same for blocks inside articles: this share of the pages.
 INSIDE_SHARE = 0.5
+#: Blocks that keep their place are template from this many pages of their host on (inside articles: articles), whatever their share.
+PLACED_PAGES = 30
 #: Template hashes are sent to all workers up to this many (8 bytes each); beyond it they are joined to their pages.
 BROADCAST_HASHES = 500_000
 #: Hashes that occur on LEAST_PAGES pages are sent to all workers up to this many (8 bytes each) before different pages are counted.
@@ -36,6 +41,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are template candidates inside articles: blocks that stand alone, no headings, items, cells or inline elements.
 ALONE = frozenset("address aside blockquote center details dialog div dl fieldset figure footer form header menu nav ol p pre section table ul".split())
+ASIDE = frozenset("aside nav".split())
 DROP = frozenset("aside audio button canvas datalist dialog embed fieldset footer form frameset head iframe input map menu nav noembed noframes noscript object option script select style svg template textarea title video xmp".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body html main aside nav footer header form td th blockquote".split())
@@ -148,11 +154,12 @@ def text_of(node: Node, inside: bool = False, deleted: frozenset | set = frozens
 
 
 class Subtree:
-    __slots__ = ("node", "up", "article", "state", "digest", "start", "end")
+    __slots__ = ("node", "up", "article", "state", "digest", "start", "end", "children", "place")
 
     def __init__(self, node: Node, up: int, article: int, start: int):
         self.node, self.up, self.article, self.start, self.end = node, up, article, start, start
         self.state, self.digest = blake2b(node.tag.encode(), digest_size=8), b""
+        self.children = self.place = 0
 
 
 def _long(b: bytes) -> int:
@@ -167,9 +174,11 @@ def _longest_outside(texts: list[str], inner: tuple[int, int], outer: tuple[int,
 
 
 def subtree_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
-    """Hash of the page, and (id(), hash, context) of every template candidate, made from the leaves up.
+    """Hash of the page, and (id(), hash, context) of every template candidate, made from the leaves up: a hash of the subtree and,
+    for blocks that stand alone, two of the subtree and its place.
 
-    The lowest bit of a hash tells candidates inside articles.  The context tells pages, or articles, apart."""
+    The lowest bit of a hash tells candidates inside articles, the next one those with a place.  The context tells pages, or
+    articles, apart."""
     all_: list[Subtree] = []
     texts: list[str] = []
     work: list = [(root, -1, -1)]
@@ -180,6 +189,9 @@ def subtree_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
             t.end, t.digest = len(texts), t.state.digest()
             if t.up >= 0:
                 all_[t.up].state.update(b"<" + t.digest)
+                if t.end > t.start:
+                    t.place = all_[t.up].children
+                    all_[t.up].children += 1
         elif x.__class__ is str:
             if x and not x.isspace():
                 texts.append(" ".join(x.split()))
@@ -196,13 +208,21 @@ def subtree_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
         if t.end == t.start or t.node.tag in ("html", "body", "main", "article"):
             continue
         if t.article < 0:
-            out.append((id(t.node), _long(t.digest) & ~1, page))
+            inside, context = 0, page
         elif t.node.tag in ALONE:
             a = all_[t.article]
             other = _longest_outside(texts, (t.start, t.end), (a.start, a.end), top)
             if other not in contexts:
                 contexts[other] = _long(blake2b(other.encode(), digest_size=8).digest())
-            out.append((id(t.node), _long(t.digest) | 1, contexts[other]))
+            inside, context = 1, contexts[other]
+        else:
+            continue
+        out.append((id(t.node), _long(t.digest) & ~3 | inside, context))
+        if t.node.tag in ALONE or t.node.tag in ASIDE:
+            up = all_[t.up]
+            for place in (b"+%d" % t.place, b"-%d" % (up.children - t.place)):
+                h = _long(blake2b(t.digest + up.node.tag.encode() + place, digest_size=8).digest())
+                out.append((id(t.node), h & ~3 | 2 | inside, context))
     return page, out
 
 
@@ -244,7 +264,7 @@ def _on_host(host: str, h: int) -> int:
 
 def template_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, hash of subtrees that recur on LEAST_PAGES different pages and LEAST_SHARE (inside articles INSIDE_SHARE) of the pages
-    of their host.
+    of their host, or keep their place on PLACED_PAGES of them.
 
     The first pass counts rows and leaves hashes that can be template; the second counts different pages of those.  Counts are
     combined before each shuffle, so a host with most pages is no hot task."""
@@ -257,7 +277,7 @@ def template_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> D
         for batch in batches:
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(u)
-                mine = {_on_host(host, x) for _, x, _ in subtree_hashes(parse(h or ""))[1]}
+                mine = {_on_host(host, x) for _, x, _ in subtree_hashes(parse(h or ""))[1] if not x & 2}
                 yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64())], names=["k"])
 
     seen = written(src.mapInArrow(_joined(rows), "k long").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("k"), "candidates")
@@ -270,13 +290,15 @@ def template_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> D
                 host = host_of(u)
                 page, found = subtree_hashes(parse(h or ""))
                 some = among.value
-                mine = [*{(x, c) for _, x, c in found if some is None or _on_host(host, x) in some}, (None, page)]  # null stands for the page
+                kept = {i for i, x, _ in found if some is None or not x & 2 and _on_host(host, x) in some}
+                mine = [*{(x, c) for i, x, c in found if i in kept}, (None, page)]  # null stands for the page
                 yield pa.RecordBatch.from_arrays([pa.array([host] * len(mine), pa.string()), pa.array([x for x, _ in mine], pa.int64()), pa.array([c for _, c in mine], pa.int64())], names=["host", "hash", "context"])
 
     counts = written(src.mapInArrow(_joined(run), "host string, hash long, context long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "counts")
     total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    share = F.when(F.col("hash").bitwiseAND(1) == 1, INSIDE_SHARE).otherwise(LEAST_SHARE)
-    return counts.where("hash is not null").join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    share = F.when(F.col("hash").bitwiseAND(1) == 1, INSIDE_SHARE).otherwise(LEAST_SHARE) * F.col("pages")
+    least = F.when(F.col("hash").bitwiseAND(2) == 2, F.lit(PLACED_PAGES)).otherwise(share)
+    return counts.where("hash is not null").join(total, "host").where(F.col("n") >= least).select("host", "hash")
 
 
 def _joined(rows):

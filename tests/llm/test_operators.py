@@ -199,6 +199,17 @@ def test_template_inside_articles(spark):
     assert all(got[200 + i].endswith("on. Quoted." if i < 4 else f"Other {i}.") for i in range(12))
 
 
+def test_template_of_a_part_of_a_large_host(spark):
+    own = lambda i, k, n: "".join(f"<p>Own {i} {k} {j}.</p>" for j in range(n))
+    # the quoted passage stands anywhere, the menu always last
+    page = lambda i: f"<body><p>Own {i}.</p>{own(i, 'a', i % 7)}{'<p>Quoted.</p>' if i < 60 else ''}{own(i, 'b', i // 7 % 8)}<p>Text {i}.</p>{'<div>Section menu</div>' if i % 6 == 0 else ''}</body>"
+    in_article = lambda i: page(i).replace("<body>", "<body><article>").replace("</body>", "</article></body>")
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(240)] + [(1000 + i, f"http://b.org/{i}", in_article(i)) for i in range(240)]
+    got = {r.page_id: r.text for r in html_text.op3_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("menu" in x for x in got.values())
+    assert all(f"Own {i}." in got[k + i] and f"Text {i}." in got[k + i] and (i >= 60 or "Quoted." in got[k + i]) for k in (0, 1000) for i in range(240))
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_empty_tables(spark, name, tmp_path):
     for t in ("documents", "pages", "benchmark"):
