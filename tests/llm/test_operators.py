@@ -237,6 +237,30 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert "n_tokens" in cp.run(spark, sf).columns
 
 
+def test_pipeline_rows_equal_brute_force(spark):
+    """All rows of run(); contaminated documents are those of the operator, which has tests of its own."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, bench = cp.table(spark, sf, "documents"), cp.table(spark, sf, "benchmark")
+    text = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    sets = {d: shingles(t) for d, t in text.items()}
+    comp = {d: d for d in text}
+    links = [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in range(20):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    bad = {r.doc_id for r in decontaminate.find_contamination(docs, bench).collect()}
+    tok = Tokenizer.from_file(bpe.tokenizer_path())
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for d in sorted(d for d in text if comp[d] == d and d not in bad):
+        ids = tok.encode(secrets.redact(text[d]), add_special_tokens=False).ids
+        want.append((d, len(ids), h(np.array(ids, "<u4").tobytes()), h(tok.decode(ids, skip_special_tokens=False).encode())))
+    assert sorted(map(tuple, cp.run(spark, sf).collect())) == want and bad
+
+
 def test_histogram_bound_never_drops_a_link():
     from tessera.llm.ngram_join import histogram, linked, may_link
 
