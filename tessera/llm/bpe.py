@@ -2,8 +2,8 @@
 
 A byte pair that occurs inside no vocabulary token can be inside no merge, so it is a certain cut: the fragments between
 such pairs are encoded independently and their ids concatenated.  Pieces (the pre-tokenizer's words) repeat, so each worker
-keeps a bounded table of the ids of recent pieces by 64-bit hash; only the fragments of new pieces run merges, all of one
-length together in NumPy matrices.
+keeps a bounded table of the ids of recent pieces, found by hash and compared by their bytes; only the fragments of new pieces
+run merges, all of one length together in NumPy matrices.
 
 Words of Latin-1 characters are cut into pieces on arrays of code points, which is equivalent for them: they are in normal
 form C, their lower case is one character, and their classes are fixed.  Words with other characters go through the tokenizer
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches
+from .hashing import same_spans, span_hashes
 
 #: Pieces whose ids a worker keeps; beyond it the table starts anew.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 500_000
 #: Code points worked on at a time; longer texts are cut at white space.
 SLICE = 1_000_000
 #: Fragments longer than this run merges from a heap, not in a matrix.
@@ -64,44 +65,10 @@ def _latin_tables() -> tuple[np.ndarray, np.ndarray]:
     return cls, low
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.ones(n, np.uint64)
-    k, b = 1, base
-    while k < n:
-        m = min(k, n - k)
-        out[k : k + m] = out[:m] * np.uint64(b)
-        k, b = 2 * k, b * b % 2**64
-    return out
-
-
-HASH_BASE = 0x9E3779B97F4A7C15
-
-
-class SpanHash:
-    """64-bit hashes of many spans of an array of bytes at once: sums of value times power of the position, modulo 2 ** 64."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values  # 256 odd numbers
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def __call__(self, a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(a)
-        if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = powers(HASH_BASE, size), powers(pow(HASH_BASE, -1, 2**64), size)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[a] * self.up[:n], out=total[1:])
-        h = (total[end] - total[start]) * self.down[start]
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31)) | np.uint64(1)
-
-
 class IdTable:
-    """Ids of pieces by their hash: open addressing over arrays, for whole batches of keys."""
+    """Ids and bytes of pieces by their hash: open addressing over arrays, for whole batches of keys."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 20):
         self.mask = np.uint64((1 << bits) - 1)
         self.clear()
 
@@ -111,6 +78,8 @@ class IdTable:
         self.n, self.used = 0, 0
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool = np.zeros(4096, np.uint32)
+        self.text, self.filled = np.zeros(4096, np.uint8), 0
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key, -1 where it is not there."""
@@ -127,19 +96,27 @@ class IdTable:
             todo, at = todo[more], at[more]
         return out
 
-    def add(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        """New, different keys with the number of their ids and all ids in order."""
-        k = len(keys)
+    def store(self, text: np.ndarray, size: np.ndarray, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Slots of pieces (their bytes end to end, and sizes) with the number of their ids and all ids in order."""
+        k = len(size)
         while self.n + k > len(self.start):
-            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
+            self.start, self.count, self.begin, self.size = (np.concatenate([x, x]) for x in (self.start, self.count, self.begin, self.size))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, self.pool])
+        while self.filled + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, self.text])
         slots = np.arange(self.n, self.n + k, dtype=np.int32)
-        self.count[slots] = count
+        self.count[slots], self.size[slots] = count, size
         self.start[slots] = self.used + np.cumsum(count) - count
+        self.begin[slots] = self.filled + np.cumsum(size) - size
         self.pool[self.used : self.used + len(ids)] = ids
-        self.n, self.used = self.n + k, self.used + len(ids)
-        at, todo = keys & self.mask, np.arange(k)
+        self.text[self.filled : self.filled + len(text)] = text
+        self.n, self.used, self.filled = self.n + k, self.used + len(ids), self.filled + len(text)
+        return slots
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Make stored pieces known by new, different keys."""
+        at, todo = keys & self.mask, np.arange(len(keys))
         while len(todo):
             free = self.keys[at] == 0
             self.keys[at[free]] = keys[todo[free]]
@@ -167,6 +144,7 @@ class WordBpe:
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.lib = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.marks = {t[0] for t in self.special}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.tokens = [""] * self.size
@@ -194,7 +172,6 @@ class WordBpe:
             for k in range(len(body) - 1):
                 self.joined[int(ends and k == len(body) - 2), body[k], body[k + 1]] = True
         self.cls, self.low = _latin_tables()
-        self.hash = SpanHash(np.random.default_rng(20).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1))
         self.table = IdTable()
         self.odd: dict[str, np.ndarray] = {}
         self.wide_spaces = np.array(WIDE_SPACES, np.uint32)
@@ -345,25 +322,31 @@ class WordBpe:
         end = stops[np.searchsorted(stops, start, side="right")]
         return a, start, end, odd
 
+    def _store(self, a: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Slots for pieces of a Latin-1 array, encoded anew."""
+        sizes = e - s
+        chars = a[np.arange(int(sizes.sum())) + np.repeat(s - np.cumsum(sizes) + sizes, sizes)]
+        utf8, wide = chars, sizes
+        if (high := chars > 127).any():
+            wide = sizes + np.add.reduceat(high, np.cumsum(sizes) - sizes)
+            utf8 = np.frombuffer(chars.tobytes().decode("latin-1").encode(), np.uint8)
+        return self.table.store(chars, sizes, *self._encode_pieces(utf8, wide))
+
     def _encode_array(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of an array of code points, where each piece or word starts, and how many ids it has."""
         a, start, end, odd = self._pieces(cp)
-        keys = self.hash(a, start, end)
+        keys = span_hashes(a, start, end) | np.uint64(1)
         slots = self.table.find(keys)
         if (new := np.flatnonzero(slots < 0)).size:
             if self.table.n + len(new) > CACHE_PIECES:
                 self.table.clear()
                 new = np.arange(len(keys))
             some, first = np.unique(keys[new], return_index=True)
-            s, e = start[new[first]], end[new[first]]
-            sizes = e - s
-            take = np.arange(int(sizes.sum())) + np.repeat(s - np.cumsum(sizes) + sizes, sizes)
-            chars = a[take]
-            if (high := chars > 127).any():
-                sizes = sizes + np.add.reduceat(high, np.cumsum(sizes) - sizes)
-                chars = np.frombuffer(chars.tobytes().decode("latin-1").encode(), np.uint8)
-            self.table.add(some, *self._encode_pieces(chars, sizes))
+            self.table.add(some, self._store(a, start[new[first]], end[new[first]]))
             slots = self.table.find(keys)
+        other = np.flatnonzero(~same_spans(a, start, end, self.table.text, self.table.begin[slots], self.table.size[slots]))
+        if other.size:  # pieces with the hash of another one
+            slots[other] = self._store(a, start[other], end[other])
         ids, count = self.table.gather(slots)
         if odd:
             words = [cp[s:e].tobytes().decode("utf-32-le") for s, e in odd]
@@ -387,6 +370,10 @@ class WordBpe:
             s = e
         return [*out, text[s:]]
 
+    def forget(self) -> None:
+        """Free the tables of pieces: the worker may go on with other work."""
+        self.table, self.odd = IdTable(), {}
+
     # -- documents --
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -395,7 +382,7 @@ class WordBpe:
         owner: list[int] = []
         fixed: dict[int, int] = {}
         for i, t in enumerate(texts):
-            for x in self.special_re.split(t) if self.special_re and "<" in t else [t]:
+            for x in self.special_re.split(t) if self.special_re and any(c in t for c in self.marks) else [t]:
                 if x in self.special:
                     fixed[len(parts)] = self.special[x]
                 for y in [""] if x in self.special else self._parts(x):
@@ -440,8 +427,9 @@ def encode_batches(batches, path: str, text: int):
     bpe = load(path)
     for batch in batches:
         texts = batch.column(text).to_pylist()
-        for s, e in slices([len(t or "") for t in texts]):
+        for s, e in slices([len(t or "") for t in texts], SLICE):
             yield batch.slice(s, e - s), bpe.encode_batch([t or "" for t in texts[s:e]])
+    bpe.forget()
 
 
 def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -474,6 +462,20 @@ def bpe_decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, ids binary, decoded string").select(F.col("k").alias(key), "ids", "decoded")
 
 
+def bpe_round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids, decoded: bpe_encode and bpe_decode of every whole text in one worker.  Nulls, keys and repeated rows as there."""
+    small_batches(df.sparkSession)
+    src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+
+    def run(batches):
+        bpe = load(path)
+        for rows, ids in encode_batches(batches, path, 1):
+            done = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary()), pa.array(done, pa.string())], names=["k", "ids", "decoded"])
+
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, ids binary, decoded string").select(F.col("k").alias(key), "ids", "decoded")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -481,7 +483,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: the operators' ids and the text decoded from them."""
-    path = path or tokenizer_path()
-    both = bpe_decode(bpe_encode(docs, path), path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: the operators' ids and the text decoded from them.
+
+    Null and empty texts have no ids and decode to the empty text; long texts are whole; repeated rows and null doc_ids stay as they
+    are; other columns take no part, whatever their names; an empty table gives no rows."""
+    both = bpe_round_trip(docs, path or tokenizer_path())
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -45,11 +48,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
 
 
+@contextlib.contextmanager
+def _short_lived_shuffles(spark: SparkSession):
+    """Within it a query's shuffle files go when the query ends: what it wrote is in a table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again: this cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    with _short_lived_shuffles(spark):
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

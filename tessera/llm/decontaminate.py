@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SpanHash
 from .common import slices, small_batches
+from .hashing import span_hashes
 
 WINDOW, COVER = 8, 0.5
 #: Shortest item that is looked for, in template tokens.
@@ -39,10 +39,8 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _STOP = np.zeros(256, np.int64)
 _STOP[[10, 33, 46, 58, 63]] = 1
-_VALUES = np.random.default_rng(6).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.random.default_rng(7).integers(1, 2**63, WINDOW + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOT = np.array([0, 11, 13, 17], np.uint64)
-_hash: SpanHash | None = None
 _fixed: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -54,7 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_hashes(words: list[str]) -> np.ndarray:
     a = np.frombuffer(" ".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words])
-    return _hash(a, ends - [len(w) + 1 for w in words], ends - 1)
+    return span_hashes(a, ends - [len(w) + 1 for w in words], ends - 1)
 
 
 class Tokens:
@@ -62,9 +60,8 @@ class Tokens:
     token of each text."""
 
     def __init__(self, texts: list[str]):
-        global _hash, _fixed
-        if _hash is None:
-            _hash = SpanHash(_VALUES)
+        global _fixed
+        if _fixed is None:
             _fixed = (np.sort(_word_hashes(NUMERALS)), np.sort(_word_hashes(UNITS)))
         raw = [t.encode() for t in texts]
         a = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -78,7 +75,7 @@ class Tokens:
         low[lead + 1] += 32
         before = np.concatenate(([False], word[:-1]))
         start, end = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
-        value = _hash(low, start, end)
+        value = span_hashes(low, start, end)
         kind = np.zeros(len(start), np.uint8)
         kind[cls[start] == 2] = NUM
         stops = np.concatenate(([0], np.cumsum(_STOP[a])))

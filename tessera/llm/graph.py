@@ -26,13 +26,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node in links (u, v: long); nulls and loops are left out.
 
     Alternating large and small stars: each round points every node at the least node that it or its neighbours know, with
-    least ids combined before they are shuffled; the table of each round is written to the shared folder."""
+    least ids combined before they are shuffled; the table of each round, and the result, is written to the shared folder."""
     e = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "links")
     seen = _state(e)
-    for _ in range(MOST_ROUNDS):
+    for step in range(MOST_ROUNDS + 1):
         if not seen[0]:
             break
+        if step == MOST_ROUNDS:
+            raise RuntimeError("components did not settle")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         star = _with_least(large)
@@ -44,4 +46,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         seen = now
     tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops).distinct()
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops).distinct(), "components")
+    drop_written(e)
+    return out

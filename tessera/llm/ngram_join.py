@@ -1,24 +1,28 @@
 """N-gram Jaccard self-join of documents: a size-aware heavy-light join, and its groups.
 
-Sets are the distinct 5-word shingles of whole texts, as 64-bit hashes.  Equal sets are one class; its representative is the
-least doc_id.  Two sets link when 100 * intersection >= 75 * union, so the intersection has at least 3/4 of the larger set.
+Sets are the distinct 5-word shingles of whole texts, as 64-bit hashes.  Equal sets are one class, named by a hash of the set.
+Two sets link when 100 * intersection >= 75 * union, so the intersection has at least 3/4 of the larger set.
 
 - Light sets (at most `boundary` shingles): for each size c that the intersection with a partner can be held to, all subsets
   of c shingles are enumerated; linked light sets share one.
-- Heavy sets: shingles are ordered by rarity, and the first n - ceil(3n/4) + 1 of them are posted to inverted lists; linked sets
-  share one.  Light sets large enough to link with a heavy one post theirs as well.
+- Heavy sets: shingles are ordered by rarity, and the first n - ceil(3n/4) + 1 of them are posted to inverted lists with their
+  place; linked sets share one, and at the first one that they share neither has its place too late for the intersection.
+  Light sets large enough to link with a heavy one post theirs as well.
 
 The boundary is the size with the least cost, by the numbers of sets of each size and the mean length of a list.  The order is
-by counts of frequent shingles that tasks find (a bounded table: it only makes lists short, any order gives the same links).
+by exact counts of all shingles: those of the highest counts are known to all tasks (a bounded table: it only makes lists short,
+any order gives the same links).
 
-Lists are not expanded into all pairs.  In each round every list has a pivot, the others are verified against it, and the links'
-components are found; lists within one component are done.  In a short list, and in one to which a round did little, all pairs
-across components are verified.
-So a group of n near copies takes about n comparisons, and no link between different components is missed: linked sets share a
-list, and either they are in one component already or the pair is verified.
+Lists are not expanded into all pairs.  In a round each list has up to PIVOTS pivots, the other sets are compared with these, and
+the links' components are found; a list within one component is done.  Rounds go on while they do much; what is then left
+of a list are sets that link with hardly any, and pairs of those across components are compared, in cells of a bounded part of
+the list.  So a group of n near copies takes some n comparisons, and no link between different components is missed: linked sets
+share a list, and either they are in one component already or the pair is compared.
 
-Pairs are verified in two steps.  A histogram of each set's hashes, of one byte for a bin, bounds the intersection from above;
-whole sets are made, from texts, only for pairs that the bound lets pass.
+The list of a frequent shingle is salted: its sets lie in many tasks, and only its few pivots are sent to them.
+
+Pairs are compared in two steps.  A histogram of each set's hashes, of one byte for a bin, bounds the intersection from above;
+whole sets are joined only to pairs that the bound lets pass.
 """
 
 from __future__ import annotations
@@ -29,27 +33,29 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SpanHash
 from .common import drop_written, slices, small_batches, written
 from .graph import connected_components
+from .hashing import mix, span_hashes
 
 WORDS, PART, WHOLE = 5, 75, 100
-#: Shingles counted together in a task, and the least count at which it reports one.
-COUNT_TOKENS, LOCAL_COUNT = 1_500_000, 2
+#: Shingles counted together in a task, and shingles of one bucket of the count, about.
+POOL, BUCKET = 1_500_000, 500_000
 #: Code points whose shingles are made at a time, and sets that a task remembers.
-SLICE, REMEMBERED = 500_000, 200_000
+SLICE, REMEMBERED = 500_000, 100_000
 #: Frequent shingles that order the lists: at least this count, and at most so many (16 bytes each, sent to all workers).
 FREQUENT, MOST_FREQUENT = 6, 500_000
 MOST_BOUNDARY = 12
-#: A list's rounds of pivots end when it has at most so many sets (3 in the first round), when a round leaves more than this
-#: share of its pairs across components, and after so many rounds; then all its pairs across components are verified.
-LEAST_LIST, SLOW, MOST_ROUNDS, PIVOTS = 8, 0.5, 6, 3
+#: Pivots of a list in a round; rounds go on while one closes this share of the open pairs, up to so many.
+PIVOTS, MUCH, MOST_ROUNDS = 8, 0.5, 6
+#: Sets of one cell of a list when all pairs are compared, and of one part of a salted list, about.
+CELL, SALTED = 1_000, 4_000
+#: Lists with more than this share of all rows (at most 1 / HOT_SHARE of them) have their pivots sent to all tasks.
+HOT_SHARE = 1 / 20_000
 #: Ids of candidates are sent to all workers up to this many (8 bytes each); beyond it texts are joined to them by a shuffle.
 BROADCAST_IDS = 1_000_000
-
 #: Shingles for each bin of a histogram, at most, and the least count of bins.
 BIN_LOAD, LEAST_BINS = 2, 16
 
@@ -57,39 +63,29 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUES = np.random.default_rng(9).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.random.default_rng(10).integers(1, 2**63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-_hash: SpanHash | None = None
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The ascending shingle hashes (as int64) of each text."""
-    global _hash
-    _hash = _hash or SpanHash(_VALUES)
     raw = [t.encode() for t in texts]
     a = _LOW[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
     space = _SPACE[a]
     start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     end = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    words = _hash(a, start, end)
+    words = span_hashes(a, start, end)
     edge = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
     n = max(0, len(words) - WORDS + 1)
     shingles = np.zeros(n, np.uint64)
     for k in range(WORDS):
         shingles += words[k : k + n] * _MULT[k]
-    shingles = _mix(shingles).view(np.int64)
+    shingles = mix(shingles).view(np.int64)
     out = []
     for s, e in zip(edge, edge[1:]):
         if e - s >= WORDS:
             out.append(np.unique(shingles[s : e - WORDS + 1]))
         elif e > s:
-            out.append(_mix((words[s:e] * _MULT[: e - s]).sum(dtype=np.uint64, keepdims=True) + _MULT[WORDS:] * np.uint64(e - s)).view(np.int64))
+            out.append(mix((words[s:e] * _MULT[: e - s]).sum(dtype=np.uint64, keepdims=True) + _MULT[WORDS:] * np.uint64(e - s)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
     return out
@@ -123,60 +119,114 @@ def may_link(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * most >= PART * (int(a.sum()) + int(b.sum()) - most)
 
 
-def _set_id(x: np.ndarray) -> tuple[int, int]:
-    h = blake2b(x.tobytes(), digest_size=16).digest()
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+def _set_id(x: np.ndarray) -> int:
+    return int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sets(batch, texts: int):
+    """The rows of a batch with their shingle sets, in slices of bounded length."""
+    col = batch.column(texts).to_pylist()
+    for s, e in slices([len(t or "") for t in col], SLICE):
+        yield batch.slice(s, e - s), shingle_sets([t or "" for t in col[s:e]])
 
 
 def _scan(src: DataFrame) -> DataFrame:
-    """One row for each document (doc_id, n, s1, s2), and rows (token, count) of shingles frequent within a task."""
+    """doc_id, n, s (name of the set; null for an empty one) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, sets in _sets(batch, 1):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "n", "s"])
+
+    return src.mapInArrow(run, "doc_id long, n long, s long")
+
+
+def _prints(x: np.ndarray, bits: int) -> np.ndarray:
+    """The high 32 + bits bits of shingles: what they are counted by."""
+    return (x.view(np.uint64) >> np.uint64(32 - bits)).view(np.int64)
+
+
+def _counts(src: DataFrame, bits: int) -> DataFrame:
+    """print, count of all shingles that occur in FREQUENT sets or more.
 
-    def counted(pool: list[np.ndarray]):
-        token, count = np.unique(np.concatenate(pool), return_counts=True)
-        some = count >= LOCAL_COUNT
-        k = int(some.sum())
-        none = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[some]), pa.array(count[some].astype(np.int64))], names=names)
+    Each task counts its own shingles first.  The high bits of a print are its bucket, the other 32 are packed; so few are alike by
+    chance that the order hardly feels it."""
+
+    def packed(pool: list[np.ndarray]):
+        value, count = np.unique(_prints(np.concatenate(pool), bits), return_counts=True)
+        edge = np.searchsorted(value, np.arange((1 << bits) + 1) << 32).tolist()
+        low, one = value.astype(np.uint32), count == 1
+        rows = []
+        for b, (s, e) in enumerate(zip(edge, edge[1:])):
+            if e > s:
+                some = ~one[s:e]
+                rows.append((b, low[s:e][~some].tobytes(), low[s:e][some].tobytes() + count[s:e][some].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "ones", "more"])
 
     def run(batches):
         pool, size, seen = [], 0, set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for s, e in slices([len(t or "") for t in texts], SLICE):
-                sets = shingle_sets([t or "" for t in texts[s:e]])
-                ids = [_set_id(x) if len(x) else (None, None) for x in sets]
-                none = pa.nulls(e - s, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(x) for x in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), none, none], names=names)
-                for x, i in zip(sets, ids):
-                    if len(x) and i not in seen:
+            for _, sets in _sets(batch, 0):
+                for x in sets:
+                    if len(x) and (i := hash(x.tobytes())) not in seen:
                         seen.add(i)
                         pool.append(x)
                         size += len(x)
-                if size >= COUNT_TOKENS:
-                    yield counted(pool)
+                if size >= POOL:
+                    yield packed(pool)
                     pool, size, seen = [], 0, set()
         if pool:
-            yield counted(pool)
+            yield packed(pool)
+
+    def merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        value, at = np.unique(np.concatenate(values), return_inverse=True)
+        return value, np.bincount(at, np.concatenate(counts), len(value)).astype(np.int64)
 
-    names = ["doc_id", "n", "s1", "s2", "token", "count"]
-    return src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, token long, count long")
+    def add(batches):
+        now, values, counts, size = None, [], [], 0
 
+        def done():
+            value, count = merged(values, counts)
+            some = count >= FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array(value[some].astype(np.int64) | now << 32), pa.array(count[some])], names=["print", "count"])
 
-def frequent_shingles(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the highest counts, ascending by hash, and their counts; at most MOST_FREQUENT."""
-    counts = scanned.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= FREQUENT)
-    level = F.floor(F.log2("c") * 4).cast("int")
-    least, total = None, 0
-    for r in sorted(counts.groupBy(level.alias("l")).count().collect(), reverse=True):
-        total += r["count"]
-        if total > MOST_FREQUENT:
+        for batch in batches:
+            for b, ones, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b != now and values:
+                    yield done()
+                    values, counts, size = [], [], 0
+                now = b
+                x, y = np.frombuffer(ones.as_buffer(), np.uint32), np.frombuffer(more.as_buffer(), np.uint32)
+                values += [x, y[: len(y) // 2]]
+                counts += [np.ones(len(x)), y[len(y) // 2 :]]
+                size += len(x) + len(y)
+                if size > 8 * BUCKET:
+                    value, count = merged(values, counts)
+                    values, counts, size = [value], [count], 0
+        if values:
+            yield done()
+
+    made = src.select("text").mapInArrow(run, "bucket int, ones binary, more binary")
+    return made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "print long, count long")
+
+
+def frequent_shingles(src: DataFrame, total: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bits of the buckets; prints of the highest counts, ascending, and their counts; at most MOST_FREQUENT."""
+    bits = min(31, max(0, (max(1, total // BUCKET) - 1).bit_length()))
+    counts = written(_counts(src, bits), "counts")
+    level = F.floor(F.log2("count") * 4).cast("int")
+    least, sum_ = None, 0
+    for r in sorted(counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        sum_ += r["n"]
+        if sum_ > MOST_FREQUENT:
             break
         least = r["l"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = counts.where(level >= least).toPandas()
-    order = np.argsort(got["token"].to_numpy())
-    return got["token"].to_numpy()[order], got["c"].to_numpy()[order]
+    got = counts.where(level >= least).toPandas() if least is not None else None
+    drop_written(counts)
+    if got is None:
+        return bits, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(got["print"].to_numpy())
+    return bits, got["print"].to_numpy()[order], got["count"].to_numpy()[order]
 
 
 def subsets_of(n: int) -> int:
@@ -197,93 +247,105 @@ def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(MOST_BOUNDARY + 1), key=lambda x: (cost(x), x))
 
 
-def _keys(x: np.ndarray, boundary: int, token: np.ndarray, count: np.ndarray, maybe: np.ndarray, combos: dict) -> np.ndarray:
-    """What a set is listed under."""
-    n, out = len(x), []
-    if n <= boundary:
-        mixed = _mix(x.view(np.uint64))
-        for c in range(need(n), n + 1):
-            if (n, c) not in combos:
-                combos[n, c] = np.array(list(combinations(range(n), c)))
-            out.append(_mix(mixed[combos[n, c]].sum(axis=1, dtype=np.uint64) + _MULT[:1] * np.uint64(c)).view(np.int64))
-    if n > boundary or n >= need(boundary + 1):
-        k = n - need(n) + 1
-        hot = np.flatnonzero(maybe[x & (len(maybe) - 1)]) if len(token) else np.zeros(0, np.int64)
-        if len(hot):
-            at = np.minimum(np.searchsorted(token, x[hot]), len(token) - 1)
-            true = token[at] == x[hot]
-            hot, at = hot[true], at[true]
-        if len(hot):
-            rest = np.delete(x, hot)
-            out.append(rest[:k])
+class Lister:
+    """What sets are listed under."""
+
+    def __init__(self, boundary: int, bits: int, prints: np.ndarray, counts: np.ndarray):
+        self.boundary, self.bits, self.prints, self.counts = boundary, bits, prints, counts
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[prints & (len(self.maybe) - 1)] = True
+        self.combos: dict = {}
+
+    def keys(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, place in the set's order, and number of the key's sets where it is frequent (else 0)."""
+        n, key, place, count = len(x), [], [], []
+        if n <= self.boundary:
+            mixed = mix(x.view(np.uint64))
+            for c in range(need(n), n + 1):
+                if (n, c) not in self.combos:
+                    self.combos[n, c] = np.array(list(combinations(range(n), c)))
+                key.append(mix(mixed[self.combos[n, c]].sum(axis=1, dtype=np.uint64) + _MULT[:1] * np.uint64(c)).view(np.int64))
+                place.append(np.zeros(len(key[-1]), np.int32))
+                count.append(place[-1])
+        if n > self.boundary or n >= need(self.boundary + 1):
+            k = n - need(n) + 1
+            p = _prints(x, self.bits)
+            hot = np.flatnonzero(self.maybe[p & (len(self.maybe) - 1)]) if len(self.prints) else np.zeros(0, np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(self.prints, p[hot]), len(self.prints) - 1)
+                true = self.prints[at] == p[hot]
+                hot, at = hot[true], at[true]
+            rest = np.delete(x, hot)[:k] if len(hot) else x[:k]
+            key.append(rest)
+            count.append(np.zeros(len(rest), np.int32))
             if len(rest) < k:
-                out.append(x[hot[np.lexsort((x[hot], count[at]))][: k - len(rest)]])
-        else:
-            out.append(x[:k])
-    return np.concatenate(out)
+                often = self.counts[at]
+                last = np.lexsort((x[hot], often))[: k - len(rest)]
+                key.append(x[hot[last]])
+                count.append(often[last].astype(np.int32))
+            place.append(np.arange(k, dtype=np.int32))
+        return np.concatenate(key), np.concatenate(place), np.concatenate(count)
 
 
-def _postings(src: DataFrame, boundary: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, s1, n of every set; sets that a task saw before are left out."""
+def _postings(src: DataFrame, boundary: int, frequent: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+    """key, salt (-1: the key is not salted), s, n, place of every set; sets that a task saw before are left out."""
     shared = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        token, count = shared.value
-        maybe, combos, seen = np.zeros(1 << 22, bool), {}, set()
-        maybe[token & (len(maybe) - 1)] = True
+        lister, seen = Lister(boundary, *shared.value), set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for s, e in slices([len(t or "") for t in texts], SLICE):
-                keys, owner, size = [], [], []
-                for x in shingle_sets([t or "" for t in texts[s:e]]):
+            for _, sets in _sets(batch, 0):
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
+                for x in sets:
                     if not len(x) or (i := _set_id(x)) in seen:
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(i)
-                    got = _keys(x, boundary, token, count, maybe, combos)
-                    keys.append(got)
-                    owner.append(np.full(len(got), i[0]))
-                    size.append(np.full(len(got), len(x), np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owner, size)], names=["key", "s1", "n"])
+                    key, place, count = lister.keys(x)
+                    salt = np.where(count > SALTED, (i & 0x7FFFFFFF) % np.maximum(count // SALTED, 1), -1).astype(np.int32)
+                    for c, v in zip(cols, (key, salt, np.full(len(key), i), np.full(len(key), len(x), np.int32), place)):
+                        c.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "salt", "s", "n", "place"])
 
-    return src.select("text").mapInArrow(run, "key long, s1 long, n int")
+    return src.select("text").mapInArrow(run, "key long, salt int, s long, n int, place int")
 
 
-def _near_size(a: str, b: str):
-    """Whether two set sizes allow a link."""
-    return (WHOLE * F.col(a) >= PART * F.col(b)) & (WHOLE * F.col(b) >= PART * F.col(a))
+def _may_meet(x: str, y: str):
+    """Whether two sets (n, place of a shared shingle) can link, if it is the first one that they share."""
+    n = F.col(f"{x}n") + F.col(f"{y}n")
+    left = F.least(F.col(f"{x}n") - F.col(f"{x}place"), F.col(f"{y}n") - F.col(f"{y}place"))
+    return left * (PART + WHOLE) >= n * PART
 
 
-def _lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, rep, n of sets that have a partner of a fitting size in a list."""
-    w = Window.partitionBy("key")
-    met = postings.withColumns({"lo": F.min("s1").over(w), "hi": F.max("s1").over(w)}).where("lo <> hi").select("key", "s1", "n").distinct()
-    reps = met.join(classes.select("s1", "rep"), "s1").select("key", "rep", "n")
-    by_size = Window.partitionBy("key").orderBy("n", "rep")
-    near = reps.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    return near.where(F.coalesce(WHOLE * F.col("less") >= PART * F.col("n"), F.lit(False)) | F.coalesce(WHOLE * F.col("n") >= PART * F.col("more"), F.lit(False))).select("key", "rep", "n")
+def _lists(postings: DataFrame) -> DataFrame:
+    """key, s, n, place of the sets of lists that hold more than one set (a salted list does)."""
+    w = Window.partitionBy("key", "salt")
+    met = postings.withColumns({"lo": F.min("s").over(w), "hi": F.max("s").over(w)}).where("lo <> hi or salt >= 0")
+    return met.select("key", "s", "n", "place").distinct()
 
 
-def _of_sets(src: DataFrame, reps: DataFrame, make) -> DataFrame:
-    """rep, value (binary): make(shingle set) of the representatives, from their texts."""
-    ids = reps.select(F.col("rep").alias("doc_id"))
+def _values(src: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """s, bins, shingles (binary) of the sets in pairs, from the texts of their classes' least doc_ids."""
+    ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct().join(classes.select("s", F.col("rep").alias("doc_id")), "s")
+    ids = written(ids.select("doc_id").distinct(), "ids")
     rows = src.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for s, e in slices([len(t or "") for t in texts], SLICE):
-                values = [make(x) for x in shingle_sets([t or "" for t in texts[s:e]])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(values, pa.binary())], names=["rep", "value"])
+            for _, sets in _sets(batch, 0):
+                some = [x for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in some], pa.int64()), pa.array([histogram(x) for x in some], pa.binary()), pa.array([x.tobytes() for x in some], pa.binary())], names=["s", "bins", "shingles"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "rep long, value binary")
+    out = written(rows.select("text").mapInArrow(run, "s long, bins binary, shingles binary"), "values")
+    drop_written(ids)
+    return out
 
 
-def _passing(pairs: DataFrame, values: DataFrame, test, dtype) -> DataFrame:
+def _passing(pairs: DataFrame, values: DataFrame, column: str, test, dtype) -> DataFrame:
     """The pairs (a, b) of which test(value of a, value of b) holds."""
-    small_batches(pairs.sparkSession)
-    both = pairs.join(values.select(F.col("rep").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("rep").alias("b"), F.col("value").alias("y")), "b")
+    side = lambda s, v: values.select(F.col("s").alias(s), F.col(column).alias(v))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def run(batches):
         for batch in batches:
@@ -294,70 +356,113 @@ def _passing(pairs: DataFrame, values: DataFrame, test, dtype) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, histograms: DataFrame, src: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, as (u, v): by the bound of histograms, then by whole sets."""
-    open_pairs = written(_passing(pairs, histograms, may_link, np.uint8), "pairs")
-    reps = open_pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    links = written(_passing(open_pairs, _of_sets(src, reps, lambda x: x.tobytes()), linked, np.int64), "verified")
+def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
+    """The written pairs (a, b) whose sets link, as (u, v): by the bound of histograms, then by whole sets."""
+    values = _values(src, classes, pairs)
+    open_pairs = written(_passing(pairs, values, "bins", may_link, np.uint8), "passing")
+    links = written(_passing(open_pairs, values, "shingles", linked, np.int64), "verified")
     drop_written(open_pairs)
+    drop_written(values)
     return links.toDF("u", "v")
 
 
-def _links(lists: DataFrame, histograms: DataFrame, src: DataFrame) -> DataFrame:
+def _pivot_pairs(open_: DataFrame, step: int) -> DataFrame:
+    """a, b: sets of each list with its pivots, the sets of least hash in each of PIVOTS classes."""
+    turn = F.xxhash64("s", F.lit(step))
+    top = open_.groupBy("key", F.pmod(turn, F.lit(PIVOTS)).alias("class")).agg(F.min(F.struct(turn.alias("t"), "s", "n", "place", "comp")).alias("p"), F.count("*").alias("m"))
+    pivots = written(top.select("key", "m", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("s", "n", "place", "comp")]), "pivots")
+    size = pivots.groupBy("key").agg(F.sum("m").alias("size"))
+    least = (F.col("size") > F.lit(max(1000.0, HOT_SHARE * open_.count())))
+    hot = written(size.where(least).select("key"), "hot")
+    met = lambda d, p: d.join(p, "key").where((F.col("comp") != F.col("p_comp")) & _may_meet("", "p_")).select(F.least("s", "p_s").alias("a"), F.greatest("s", "p_s").alias("b"))
+    few = F.broadcast(hot)
+    of_hot = met(open_, F.broadcast(pivots.drop("m").join(few, "key", "left_semi")))
+    of_cold = met(open_.join(few, "key", "left_anti"), pivots.drop("m").join(few, "key", "left_anti"))
+    out = written(of_hot.unionByName(of_cold).distinct(), "pairs")
+    for d in (pivots, hot):
+        drop_written(d)
+    return out
+
+
+def _all_pairs(open_: DataFrame) -> DataFrame:
+    """a, b: pairs of sets of a list in different components.  A long list is dealt to parts; each cell has two parts of it."""
+    size = open_.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("key", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
+    rows = open_.join(size, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
+    rows = rows.withColumn("part", part)
+    # part p meets part q >= p in cell (p, q)
+    every = lambda: F.sequence(F.lit(0), F.col("parts") - 1)
+    cells = rows.withColumn("other", F.explode(every())).select("key", "s", "n", "place", "comp", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    x, y = (cells.select("key", "p", "q", *[F.col(c).alias(f"{t}_{c}") for c in ("s", "n", "place", "comp", "part")]) for t in "xy")
+    fits = (F.col("x_comp") < F.col("y_comp")) & _may_meet("x_", "y_") & ((F.col("p") == F.col("q")) | (F.col("x_part") != F.col("y_part")))
+    got = x.join(y, ["key", "p", "q"]).where(fits).select(F.least("x_s", "y_s").alias("a"), F.greatest("x_s", "y_s").alias("b"))
+    return written(got.distinct(), "pairs")
+
+
+def _links(lists: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
     """Links (u, v) that join the same components as all links."""
-    spark = lists.sparkSession
-    links: DataFrame | None = None
-    rest, last_open = lists.withColumn("was", F.lit(None).cast("double")), None
+    open_ = lists.withColumn("comp", F.col("s"))
+    found: list[DataFrame] = []
+    before = None
     for step in range(MOST_ROUNDS + 1):
-        if links is None:
-            now = rest.withColumn("comp", F.col("rep"))
-        else:
-            comps = connected_components(links)
-            now = rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "was", F.coalesce("component", "rep").alias("comp"))
-        w = Window.partitionBy("key")
-        sized = now.withColumn("own", F.count("*").over(Window.partitionBy("key", "comp")).cast("double")).withColumn("m", F.count("*").over(w).cast("double"))
-        open_lists = written(sized.withColumn("cross", (F.col("m") * F.col("m") - F.sum("own").over(w)) / 2).where("cross > 0").select("key", "rep", "n", "comp", "m", "cross", "was"), "open")
-        if last_open is not None:
-            drop_written(last_open)
-        last_open = open_lists
-        if open_lists.isEmpty():
+        own = open_.groupBy("key", "comp").agg(F.count("*").cast("double").alias("k"))
+        left = own.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")).where("cross > 0")
+        keys = written(left, "keys")
+        cross = keys.agg(F.sum("cross")).first()[0] or 0.0
+        if not cross:
+            drop_written(keys)
+            break
+        last = step == MOST_ROUNDS or before is not None and cross > (1 - MUCH) * before
+        now = written(open_.join(keys.select("key"), "key", "left_semi"), "open")
+        pairs = _all_pairs(now) if last else _pivot_pairs(now, step)
+        new = verified(pairs, classes, src)
+        found.append(new)
+        for d in (pairs, keys, open_):
+            drop_written(d)
+        if last:
+            drop_written(now)
             break
-        whole = F.lit(step == MOST_ROUNDS) | (F.col("m") <= (LEAST_LIST if step else 3)) | F.coalesce(F.col("cross") > SLOW * F.col("was"), F.lit(False))
-        left, right = (open_lists.where(whole).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "comp")]) for side in "ab")
-        pairs = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & _near_size("n_a", "n_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        turn = F.xxhash64("rep", F.lit(step), F.pmod("key", F.lit(PIVOTS)))
-        top = F.min(F.struct(turn.alias("t"), "rep", "n", "comp")).over(w)
-        pivots = open_lists.where(~whole).withColumn("p", top).select("rep", "n", "comp", F.col("p.rep").alias("a"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")).where((F.col("comp") != F.col("pc")) & _near_size("n", "pn")).select("a", F.col("rep").alias("b"))
-        pairs = pairs.unionByName(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pairs, histograms, src)
-        links = written(new if links is None else links.unionByName(new).distinct(), "found")
-        rest = open_lists.where(~whole).select("key", "rep", "n", F.col("cross").alias("was"))
-    return links if links is not None else spark.createDataFrame([], "u long, v long")
+        comps = connected_components(_union(found))
+        open_ = written(now.drop("comp").join(comps.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", "place", F.coalesce("component", "s").alias("comp")), "open")
+        drop_written(now)
+        drop_written(comps)
+        before = cross
+    return _union(found) if found else lists.sparkSession.createDataFrame([], "u long, v long")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with an equal set), component_id of every row of docs (doc_id, text).
 
     Texts that are null or have no word have no shingle: class_id and component_id are their own doc_id, and they link with
-    nothing.  Repeated rows stay as they are; a null doc_id takes part but never names a class."""
+    nothing.  Repeated rows stay as they are, and rows of one doc_id with different texts are different documents; a row without a
+    doc_id takes the ids of its class, if that has any, and names none.  Long texts are whole; ties do not matter, as ids are
+    minima; other columns take no part, whatever their names; an empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(_scan(src), "scanned")
-    rows = scanned.where("token is null").select("doc_id", "n", "s1", "s2")
-    classes = written(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    frequent = frequent_shingles(scanned)
-    sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_BOUNDARY).groupBy("n").count().collect()}
-    total = classes.agg(F.sum("n")).first()[0] or 1
-    boundary = choose_boundary(sizes, 1 + float((frequent[1].astype(float) ** 2).sum()) / total)
-    lists = written(_lists(_postings(src, boundary, frequent), classes), "lists")
-    histograms = written(_of_sets(src, lists.select("rep").distinct(), histogram), "histograms")
-    spark._jvm.System.gc()  # shuffle files of the postings go
-    comps = connected_components(_links(lists, histograms, src))
-    drop_written(histograms)
+    rows = written(_scan(src), "scanned")
+    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    sizes = {r["n"]: r["k"] for r in classes.where(F.col("n") <= 2 * MOST_BOUNDARY).groupBy("n").agg(F.count("*").alias("k")).collect()}
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bits, prints, counts = frequent_shingles(src, total)
+    boundary = choose_boundary(sizes, 1 + float((counts.astype(float) ** 2).sum()) / max(1, total))
+    lists = written(_lists(_postings(src, boundary, (bits, prints, counts))), "lists")
+    links = _links(lists, classes, src)
     drop_written(lists)
-    of_class = classes.where("rep is not null").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
-    return rows.join(of_class, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    comps = connected_components(links)
+    label = classes.join(comps.withColumnRenamed("node", "s"), "s").groupBy("component").agg(F.min("rep").alias("least"))
+    named = comps.join(label, "component").select(F.col("node").alias("s"), "least")
+    of_class = written(classes.join(named, "s", "left").select("s", "rep", F.coalesce("least", "rep").alias("component")), "named")
+    for d in (classes, comps):
+        drop_written(d)
+    return rows.join(of_class, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9_components(docs: DataFrame) -> DataFrame:
