@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import aggregates, questions, temporal, texts  # noqa: E402, F401
+from . import aggregates, driving, questions, temporal, texts  # noqa: E402, F401
