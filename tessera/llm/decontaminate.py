@@ -5,7 +5,8 @@ sentence; several in a row are one) and unit.  Windows of WINDOW template tokens
 benchmark.  For each document and item that share windows, the values in the slots are compared along each alignment: one value
 of the item must stand for one value of the document throughout, and differ from its other values (slot consistency).  A document
 is contaminated by an item when consistent windows cover at least COVER of the item's windows, so re-parameterised questions
-are found as well as copies.
+are found as well as copies, or when RUN tokens of the item follow each other word for word.  An item of fewer than LEAST_TOKENS
+tokens is too short for a template: it is found word for word, where it is a sentence or line of its own.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from .common import slices, small_batches
 from .hashing import span_hashes
 
 WINDOW, COVER = 8, 0.5
-#: Shortest item that is looked for, in template tokens.
-LEAST_TOKENS = 5
-#: Benchmarks with at most this many windows are sent to all workers (about 100 bytes each); larger ones are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Shortest item that is looked for by its template, in tokens; and the length of a quotation that counts whatever its share.
+LEAST_TOKENS, RUN = 5, 13
+#: Benchmarks with at most this many windows (about 100 bytes each) and bytes of text are sent to all workers; larger ones are joined
+#: by a shuffle, with the same results.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 # Words for numbers, and units.
 NUMERALS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter double twice triple".split()
@@ -55,9 +57,17 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return span_hashes(a, ends - [len(w) + 1 for w in words], ends - 1)
 
 
+def _window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(tokens) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out += tokens[k : k + n] * _MULT[k]
+    return _mix(out + np.uint64(width) * _MULT[WINDOW:]).view(np.int64)
+
+
 class Tokens:
-    """Template tokens of some texts: hash, kind, hash of the value, start and end (bytes in the joined texts), and the first
-    token of each text."""
+    """Template tokens of some texts: hash, kind, hash of the value, start and end (bytes in the joined texts), whether a sentence
+    begins, and the first token of each text."""
 
     def __init__(self, texts: list[str]):
         global _fixed
@@ -91,53 +101,51 @@ class Tokens:
             kind[(table[at] == value) & (kind == WORD_KIND)] = k
         keep = np.ones(len(kind), bool)
         keep[1:] = ~((kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[1:])
-        self.kind, self.value, self.start, self.end = kind[keep], value[keep], start[keep], end[keep]
+        self.kind, self.value, self.start, self.end, self.first = kind[keep], value[keep], start[keep], end[keep], first[keep]
         self.hash = np.where(self.kind == WORD_KIND, self.value, _SLOT[self.kind])
         self.edge = np.searchsorted(self.start, np.cumsum([0, *(len(x) + 1 for x in raw)]))
         self.offset = np.cumsum([0, *(len(x) + 1 for x in raw)])
         self.raw = raw
 
     def windows(self, width: int = WINDOW) -> np.ndarray:
-        """Hash of the window at each token, across texts too."""
-        n = max(0, len(self.hash) - width + 1)
-        out = np.zeros(n, np.uint64)
-        for k in range(width):
-            out += self.hash[k : k + n] * _MULT[k]
-        return _mix(out + np.uint64(width) * _MULT[WINDOW:]).view(np.int64)
+        """Hash of the window at each token, across texts too: of templates, or of values if it is too short for these."""
+        return _window_hashes(self.hash if width >= LEAST_TOKENS else self.value, width)
 
 
 def item_windows(texts: list[str]) -> list[np.ndarray]:
-    """Window hashes of each item; an item of LEAST_TOKENS up to WINDOW tokens is one window of its length."""
+    """Window hashes of each item; an item of up to WINDOW tokens is one window of its length."""
     out = []
     for text in texts:
         t = Tokens([text])
         n = len(t.hash)
-        out.append(t.windows(min(WINDOW, n)) if n >= LEAST_TOKENS else np.zeros(0, np.int64))
+        out.append(t.windows(min(WINDOW, n)) if n else np.zeros(0, np.int64))
     return out
 
 
 def match(doc: "Tokens", s: int, e: int, item: "Tokens") -> tuple[float, bool, int, int] | None:
     """Share of an item's windows found with consistent slots among the document's tokens s to e, whether all slot values are
-    equal, and the first and last matching token; None if below COVER."""
+    equal, and the first and last matching token; None if below COVER and without a quotation of RUN tokens."""
     width = min(WINDOW, len(item.hash))
+    if width < LEAST_TOKENS:
+        for i in range(s, e - width + 1):
+            alone = (i == s or doc.first[i]) and (i + width == e or doc.first[i + width])
+            if alone and (doc.value[i : i + width] == item.value).all():
+                return 1.0, True, i, i + width - 1
+        return None
     theirs: dict[int, list[int]] = defaultdict(list)
     for j, h in enumerate(item.windows(width).tolist()):
         theirs[h].append(j)
     n = sum(map(len, theirs.values()))
-    mine = doc.hash[s:e]
-    k = max(0, len(mine) - width + 1)
-    hashes = np.zeros(k, np.uint64)
-    for i in range(width):
-        hashes += mine[i : i + k] * _MULT[i]
-    hashes = _mix(hashes + np.uint64(width) * _MULT[WINDOW:]).view(np.int64)
+    hashes = _window_hashes(doc.hash[s:e], width)
     hit = np.flatnonzero(np.isin(hashes, np.fromiter(theirs, np.int64, len(theirs))))
     lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i in hit.tolist():
         for j in theirs[int(hashes[i])]:
             lines[(i - j) // 4].append((i, j))  # a few inserted or dropped tokens stay on one line
-    covered, same, low, high = set(), True, e, s
+    covered, same, low, high, longest = set(), True, e, s, 0
     for pairs in lines.values():
         forth, back, good = {}, {}, []
+        runs: dict[tuple[int, int], int] = {}  # tokens word for word that end with the window (i, j)
         for i, j in pairs:
             ok = True
             new = []
@@ -154,11 +162,14 @@ def match(doc: "Tokens", s: int, e: int, item: "Tokens") -> tuple[float, bool, i
                     forth[x], back[y] = y, x
                     same = same and x == y
                 good.append((i, j))
+                if all(x == y for x, y in new):
+                    runs[i, j] = runs.get((i - 1, j - 1), width - 1) + 1
+                    longest = max(longest, runs[i, j])
         for i, j in good:
             covered.add(j)
             low, high = min(low, s + i), max(high, s + i + width - 1)
     cover = len(covered) / n if n else 0.0
-    return (cover, same, low, high) if cover >= COVER else None
+    return (cover, same, low, high) if cover >= COVER or longest >= RUN else None
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("same_values", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
@@ -175,23 +186,28 @@ def _row(doc_id, item_id, got, doc: Tokens, i: int) -> dict:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, same_values, start, end: one row for each document (doc_id, text) and item (item_id, text) that
-    contaminates it.  Null or short texts match nothing; repeated rows give repeated results."""
+    contaminates it.
+
+    Null texts and items without a token match nothing; null doc_ids and item_ids stay null in the results; repeated documents give
+    repeated results and repeated items count once; of several matches in a document their union's first and last token are given;
+    texts are whole; other columns take no part, whatever their names; empty tables give no rows."""
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
 
     def listed(batches):
         for batch in batches:
             wins = item_windows(batch.column(1).to_pylist())
             n = [len(w) for w in wins]
-            owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([owner, pa.array(np.concatenate([*wins, np.zeros(0, np.int64)]))], names=["item_id", "w"])
+            owner = batch.column(2).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(np.concatenate([*wins, np.zeros(0, np.int64)]))], names=["item", "w"])
 
-    windows = items.mapInArrow(listed, "item_id long, w long").distinct()
-    if windows.limit(BROADCAST_WINDOWS + 1).count() > BROADCAST_WINDOWS:
+    windows = items.mapInArrow(listed, "item long, w long").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > BROADCAST_BYTES or windows.limit(BROADCAST_WINDOWS + 1).count() > BROADCAST_WINDOWS:
         return _shuffled(src, items, windows)
-    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    shared = spark.sparkContext.broadcast([tuple(r) for r in items.select("item_id", "text").collect()])
 
     def run(batches):
         rows = shared.value
@@ -200,7 +216,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         short = set()
         for k, t in enumerate(toks):
             width = min(WINDOW, len(t.hash))
-            if width >= LEAST_TOKENS:
+            if width:
                 short |= {width} - {WINDOW}
                 for h in t.windows(width).tolist():
                     of[h].add(k)
@@ -230,7 +246,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _shuffled(src: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same with windows of both sides joined by a shuffle, for a benchmark that is not sent to all workers."""
+    """The same with windows of both sides joined by a shuffle, for a benchmark that is not sent to all workers.
+
+    Rows are named by a hash of id and text, as ids may be null or repeat; equal rows are compared once and counted."""
+    src = src.groupBy("doc_id", "text").agg(F.count("*").alias("times")).withColumn("row", F.xxhash64("doc_id", "text"))
     widths = [r[0] for r in _item_widths(items).collect()]
 
     def run(batches):
@@ -242,18 +261,18 @@ def _shuffled(src: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame
                 for width in widths:
                     w = doc.windows(width)
                     owner = np.searchsorted(doc.edge, np.arange(len(w)), side="right") - 1
-                    yield pa.RecordBatch.from_arrays([ids.slice(s, e - s).take(pa.array(owner)), pa.array(w)], names=["doc_id", "w"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(s, e - s).take(pa.array(owner)), pa.array(w)], names=["row", "w"])
 
-    pairs = src.mapInArrow(run, "doc_id long, w long").distinct().join(windows, "w").select("doc_id", "item_id").distinct()
-    both = src.join(pairs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
+    pairs = src.select("row", "text").mapInArrow(run, "row long, w long").distinct().join(windows, "w").select("row", "item").distinct()
+    both = src.join(pairs, "row").join(items.withColumnRenamed("text", "item_text"), "item").select("doc_id", "text", "item_id", "item_text", "times")
 
     def verify(batches):
         for batch in batches:
-            for d, t, k, x in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, t, k, x, times in zip(*(c.to_pylist() for c in batch.columns)):
                 doc = Tokens([t])
                 got = match(doc, 0, len(doc.hash), Tokens([x]))
                 if got:
-                    yield pa.RecordBatch.from_pylist([_row(d, k, got, doc, 0)], schema=FOUND)
+                    yield pa.RecordBatch.from_pylist([_row(d, k, got, doc, 0)] * times, schema=FOUND)
 
     return both.mapInArrow(verify, FOUND_DDL)
 
@@ -264,10 +283,11 @@ def _item_widths(items: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = {min(WINDOW, len(Tokens([t]).hash)) for t in batch.column(1).to_pylist()}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(x for x in n if x >= LEAST_TOKENS), pa.int64())], names=["w"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(x for x in n if x), pa.int64())], names=["w"])
 
     return items.mapInArrow(run, "w long").distinct()
 
 
 def op6_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All rows of find_contamination, which says what nulls, ties, repeated rows and the like give."""
     return find_contamination(docs, benchmark)

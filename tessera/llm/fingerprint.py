@@ -21,7 +21,9 @@ from .common import bucket_of, long_array, order_bounds
 EXACT = 8
 SHIFTS, PER_LONG, HASHES = 21, 3, 2
 SIGN_MASK = 1 | 1 << 21 | 1 << 42
-WRAP = (1 << 62) - 1
+#: The highest bit of each sign lane, and all other bits of the three.
+TOPS = SIGN_MASK << 20
+REST = (1 << 63) - 1 ^ TOPS
 LOW32 = (1 << 32) - 1
 
 
@@ -39,8 +41,13 @@ def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
         lanes.append(_sum(F.col(name), lambda h: h.bitwiseAND(F.lit(LOW32)), LOW32))
         lanes.append(_sum(F.col(name), lambda h: F.shiftrightunsigned(h, 32), LOW32))
     for name in names[EXACT // 2 :]:
-        lanes += [_sum(F.col(name), _sign_lane(i), WRAP) for i in range(SHIFTS)]
-    return df.select(*kept, F.array(*lanes).alias(out))
+        lanes += [F.aggregate(F.col(name), F.lit(0).cast("long"), _add_signs(i)) for i in range(SHIFTS)]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.array(*lanes).alias(out))
+
+
+def _add_signs(i: int):
+    """Three lanes of 21 bits, each modulo 2 ** 21: no lane carries into the next."""
+    return lambda acc, h: (acc.bitwiseAND(F.lit(REST)) + _sign_lane(i)(h)).bitwiseXOR(acc.bitwiseAND(F.lit(TOPS)))
 
 
 def _sign_lane(i: int):
@@ -84,15 +91,23 @@ def likeness(a: Column, b: Column) -> Column:
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of a multiset after the insertion (sign 1) or deletion (-1) of the paragraphs summed in b."""
     def lane(x: Column, y: Column, i: Column) -> Column:
-        top = F.when(i <= EXACT, F.lit(LOW32)).otherwise(F.lit(WRAP))
-        return (x + y if sign > 0 else x - y).bitwiseAND(top)
+        tops, rest = F.lit(TOPS), F.lit(REST)
+        if sign > 0:
+            plain, packed = x + y, (x.bitwiseAND(rest) + y.bitwiseAND(rest)).bitwiseXOR(x.bitwiseXOR(y).bitwiseAND(tops))
+        else:
+            plain, packed = x - y, (x.bitwiseOR(tops) - y.bitwiseAND(rest)).bitwiseXOR(x.bitwiseXOR(F.bitwise_not(y)).bitwiseAND(tops))
+        return F.when(i == 0, plain).when(i <= EXACT, plain.bitwiseAND(F.lit(LOW32))).otherwise(packed)
 
     return F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda v, i: lane(v["x"], v["y"], i))
 
 
 def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with lanes and fingerprint; a null text counts as empty."""
-    rows = with_lanes(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), "__text", "lanes").drop("__text")
+    """df with lanes and fingerprint; a null text counts as empty.
+
+    Columns of these names in df are replaced, all others stay whatever their names; repeated rows and null ids stay; texts are whole;
+    an empty table gives no rows."""
+    df = df.drop("lanes", "fingerprint") if text not in ("lanes", "fingerprint") else df
+    rows = with_lanes(df.withColumn("__tessera_text", F.coalesce(F.col(text), F.lit(""))), "__tessera_text", "lanes").drop("__tessera_text")
     return rows.withColumn("fingerprint", fingerprint_string(F.col("lanes")))
 
 
@@ -119,7 +134,11 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 256) -> tuple[DataFrame, "
 
 
 def op7_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+
+    A null text counts as empty; null doc_ids come last and ties are in the order of their texts; repeated rows are documents of their
+    own; of an only document it is the next itself; texts are whole; other columns take no part, whatever their names; an empty
+    table gives no rows."""
     dealt, order = with_next(docs)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")

@@ -15,6 +15,7 @@ template from a fixed number of pages on.  Quoted passages have no fixed place.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
@@ -50,10 +51,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion related recommended recommendations replies reply respond share sharing sidebar sidenav social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+# Words that with those make the name of a part of a page ("share-buttons", "site-footer"); other words with them do
+# not ("market-share", "notice-period").
+PARTS = frozenset("a area bar block body bottom box btn button buttons card close col column container content desktop entry fixed form full global group head header heading hide icon icons inline inner item items js large left link links list main message mini mobile module more nav outer overlay page panel post posts primary right row secondary section signup site slot small sticky tab text title tools top unit us wrap wrapper".split())
 # Those of them that tell a reader's comment from an article.
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
+# Possessive runs: no text makes a pattern go back over what it read.
+OPEN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -70,50 +78,69 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """A tolerant tree: unclosed elements end with their parent, stray end tags are left out."""
+    """A tolerant tree: unclosed elements end with their parent, stray end tags are left out, and so is a tag that the page's end
+    cuts off.  In linear time: once quotes do not match up to the end, the rest is read without regard to them."""
     root = Node("html")
     stack, at, n = [root], 0, len(html)
+    open_: Counter = Counter()
+    tags = TAG
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
+
     while at < n:
-        m = TOKEN.search(html, at)
-        if not m:
+        s = OPEN.search(html, at)
+        if not s:
             stack[-1].parts.append(html[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if s.start() > at:
+            stack[-1].parts.append(html[at : s.start()])
+        if html[s.start() + 1] in "!?":
+            at = COMMENT.match(html, s.start()).end()
             continue
+        m = tags.match(html, s.start())
+        if not m:
+            tags = PLAIN
+            m = tags.match(html, s.start())
+        if not m:
+            break
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in SCOPE and stack[k].tag in SCOPE:
                     break
             continue
-        if tag in BLOCK and tag != "br":
+        if tag in BLOCK and tag != "br" and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSES.get(tag, ()):
-                del stack[k:]
+        ends = CLOSES.get(tag, ())
+        for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in ends) else ():
+            if stack[k].tag in ends:
+                close(k)
                 break
             if stack[k].tag in SCOPE:
                 break
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and (tag == "html" or open_[tag]):
             continue
         node = Node(tag, m[3])
         stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+            at = html.find(">", end.end()) + 1 if end else 0
+            at = at or n
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -129,8 +156,11 @@ def unwanted(node: Node, inside: bool) -> bool:
         words = COMMENTS
     elif "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or HIDDEN.search(a.get("style", "")):
         return True
-    names = re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", f"{a.get('class', '')} {a.get('id', '')}")
-    return any(x.lower() in words for x in names)
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        said = [x.lower() for x in re.split(r"[\d_-]+|(?<=[a-z])(?=[A-Z])", name) if x]
+        if any(x in words for x in said) and all(x in NAMES or x in PARTS for x in said):
+            return True
+    return False
 
 
 def text_of(node: Node, inside: bool = False, deleted: frozenset | set = frozenset()) -> str:
@@ -353,4 +383,9 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", keep: t
 
 
 def op3_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row.
+
+    Null or empty html gives the empty text; a null url is a host of its own; pages are whole however long; repeated rows stay and
+    count once as pages of their host; of main elements of one length the first is taken; other columns take no part, whatever
+    their names; an empty table gives no rows."""
     return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

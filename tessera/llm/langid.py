@@ -170,7 +170,10 @@ def _window_hash(key: str, w: int) -> int:
 
 
 def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """A model fitted on the training windows of docs; only these come to the driver."""
+    """A model fitted on the training windows of docs; only these come to the driver.
+
+    Rows with a null text, label or key, and empty texts, teach nothing; repeated rows count as often as they occur; without labelled
+    rows the model knows no language and every text is UNKNOWN."""
     sample = training_windows(docs, text, lang, key)
     if sample is None:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0), np.float32))
@@ -183,13 +186,14 @@ def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score of every whole text; a null text or one without a letter is UNKNOWN, 0.
 
-    Columns of these names in docs are replaced."""
+    Columns of these names in docs are replaced, all others stay whatever their names.  Repeated rows and null ids stay; of languages
+    with equal scores the first by name is taken; long texts are whole; an empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("lang_pred", "lang_score")
     n = len(docs.columns)
     shared = spark.sparkContext.broadcast(model)
-    src = docs.withColumn("__t", F.col(text).cast("string"))
+    src = docs.withColumn("t" + "".join(docs.columns), F.col(text).cast("string"))  # a name that no column has
 
     def run(batches):
         for batch in batches:
@@ -209,6 +213,8 @@ def held_out(key: str = "doc_id"):
 
 
 def op2_predict(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row; a null doc_id counts as held out.  For nulls, long texts, ties, repeated rows
+    and other columns see identify and fit_model."""
     model = fit_model(docs.where(~held_out()))
     got = identify(docs.select("doc_id", "text"), model)
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

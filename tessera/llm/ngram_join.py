@@ -131,14 +131,14 @@ def _sets(batch, texts: int):
 
 
 def _scan(src: DataFrame) -> DataFrame:
-    """doc_id, n, s (name of the set; null for an empty one) of every row."""
+    """doc_id, text_hash, n, s (name of the set; null for an empty one) of every row."""
 
     def run(batches):
         for batch in batches:
-            for rows, sets in _sets(batch, 1):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "n", "s"])
+            for rows, sets in _sets(batch, 2):
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "text_hash", "n", "s"])
 
-    return src.mapInArrow(run, "doc_id long, n long, s long")
+    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, s long")
 
 
 def _prints(x: np.ndarray, bits: int) -> np.ndarray:
@@ -319,10 +319,12 @@ def _may_meet(x: str, y: str):
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """key, s, n, place of the sets of lists that hold more than one set (a salted list does)."""
-    w = Window.partitionBy("key", "salt")
-    met = postings.withColumns({"lo": F.min("s").over(w), "hi": F.max("s").over(w)}).where("lo <> hi or salt >= 0")
-    return met.select("key", "s", "n", "place").distinct()
+    """key, s, n, place of the sets of lists that have another set of a fitting size in their list (or part of a salted list)."""
+    once = postings.groupBy("key", "salt", "s").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    w = Window.partitionBy("key", "salt").orderBy("n", "s")
+    near = once.withColumns({"less": F.lag("n").over(w), "more": F.lead("n").over(w)})
+    fits = (WHOLE * F.col("less") >= PART * F.col("n")) | (WHOLE * F.col("n") >= PART * F.col("more"))
+    return near.where(F.coalesce(fits, F.lit(False)) | (F.col("salt") >= 0)).select("key", "s", "n", "place")
 
 
 def _values(src: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -367,17 +369,18 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(open_: DataFrame, step: int) -> DataFrame:
-    """a, b: sets of each list with its pivots, the sets of least hash in each of PIVOTS classes."""
+    """a, b: sets of each list with its pivots: of those in its largest component (top), or of all, the sets of least hash in each of
+    PIVOTS classes."""
     turn = F.xxhash64("s", F.lit(step))
-    top = open_.groupBy("key", F.pmod(turn, F.lit(PIVOTS)).alias("class")).agg(F.min(F.struct(turn.alias("t"), "s", "n", "place", "comp")).alias("p"), F.count("*").alias("m"))
-    pivots = written(top.select("key", "m", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("s", "n", "place", "comp")]), "pivots")
-    size = pivots.groupBy("key").agg(F.sum("m").alias("size"))
+    size = open_.groupBy("key").agg(F.count("*").alias("size"))
+    top = (open_.where("comp = top") if "top" in open_.columns else open_).groupBy("key", F.pmod(turn, F.lit(PIVOTS)).alias("class")).agg(F.min(F.struct(turn.alias("t"), "s", "n", "place", "comp")).alias("p"))
+    pivots = written(top.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("s", "n", "place", "comp")]), "pivots")
     least = (F.col("size") > F.lit(max(1000.0, HOT_SHARE * open_.count())))
     hot = written(size.where(least).select("key"), "hot")
     met = lambda d, p: d.join(p, "key").where((F.col("comp") != F.col("p_comp")) & _may_meet("", "p_")).select(F.least("s", "p_s").alias("a"), F.greatest("s", "p_s").alias("b"))
     few = F.broadcast(hot)
-    of_hot = met(open_, F.broadcast(pivots.drop("m").join(few, "key", "left_semi")))
-    of_cold = met(open_.join(few, "key", "left_anti"), pivots.drop("m").join(few, "key", "left_anti"))
+    of_hot = met(open_, F.broadcast(pivots.join(few, "key", "left_semi")))
+    of_cold = met(open_.join(few, "key", "left_anti"), pivots.join(few, "key", "left_anti"))
     out = written(of_hot.unionByName(of_cold).distinct(), "pairs")
     for d in (pivots, hot):
         drop_written(d)
@@ -395,8 +398,13 @@ def _all_pairs(open_: DataFrame) -> DataFrame:
     cells = rows.withColumn("other", F.explode(every())).select("key", "s", "n", "place", "comp", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     x, y = (cells.select("key", "p", "q", *[F.col(c).alias(f"{t}_{c}") for c in ("s", "n", "place", "comp", "part")]) for t in "xy")
     fits = (F.col("x_comp") < F.col("y_comp")) & _may_meet("x_", "y_") & ((F.col("p") == F.col("q")) | (F.col("x_part") != F.col("y_part")))
-    got = x.join(y, ["key", "p", "q"]).where(fits).select(F.least("x_s", "y_s").alias("a"), F.greatest("x_s", "y_s").alias("b"))
-    return written(got.distinct(), "pairs")
+    turned = F.col("x_s") > F.col("y_s")
+    side = lambda c: [F.when(turned, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")), F.when(turned, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))]
+    got = x.join(y, ["key", "p", "q"]).where(fits).select(*[v.alias(f"{t}{c}") for c in ("s", "n", "place") for t, v in zip("ab", side(c))])
+    # the shared shingles that pass are the first that both have: behind the last of them lies what more they may share
+    met = got.groupBy(F.col("as").alias("a"), F.col("bs").alias("b"), "an", "bn").agg(F.count("*").alias("m"), F.max("aplace").alias("ap"), F.max("bplace").alias("bp"))
+    most = F.col("m") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
+    return written(met.where(most * (PART + WHOLE) >= (F.col("an") + F.col("bn")) * PART).select("a", "b"), "pairs")
 
 
 def _links(lists: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
@@ -405,15 +413,21 @@ def _links(lists: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     before = None
     for step in range(MOST_ROUNDS + 1):
+        if not step:
+            pairs = _pivot_pairs(open_, step)
+            found.append(verified(pairs, classes, src))
+            drop_written(pairs)
+            open_ = _in_components(open_, found)
+            continue
         own = open_.groupBy("key", "comp").agg(F.count("*").cast("double").alias("k"))
-        left = own.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")).where("cross > 0")
+        left = own.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"), F.max(F.struct("k", "comp"))["comp"].alias("top")).where("cross > 0")
         keys = written(left, "keys")
         cross = keys.agg(F.sum("cross")).first()[0] or 0.0
         if not cross:
             drop_written(keys)
             break
         last = step == MOST_ROUNDS or before is not None and cross > (1 - MUCH) * before
-        now = written(open_.join(keys.select("key"), "key", "left_semi"), "open")
+        now = written(open_.join(keys.select("key", "top"), "key"), "open")
         pairs = _all_pairs(now) if last else _pivot_pairs(now, step)
         new = verified(pairs, classes, src)
         found.append(new)
@@ -422,14 +436,20 @@ def _links(lists: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
         if last:
             drop_written(now)
             break
-        comps = connected_components(_union(found))
-        open_ = written(now.drop("comp").join(comps.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", "place", F.coalesce("component", "s").alias("comp")), "open")
+        open_ = _in_components(now, found)
         drop_written(now)
-        drop_written(comps)
         before = cross
     return _union(found) if found else lists.sparkSession.createDataFrame([], "u long, v long")
 
 
+def _in_components(open_: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The written rows of lists with the component of each set by the links found."""
+    comps = connected_components(_union(found))
+    out = written(open_.drop("comp", "top").join(comps.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", "place", F.coalesce("component", "s").alias("comp")), "open")
+    drop_written(comps)
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -438,7 +458,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (least doc_id with an equal set), component_id of every row of docs (doc_id, text).
+    """doc_id, text_hash (xxhash64), n_shingles, class_id (least doc_id with an equal set), component_id (least doc_id reachable by
+    links), group_id (a name of the component; null without words) of every row of docs (doc_id, text).
 
     Texts that are null or have no word have no shingle: class_id and component_id are their own doc_id, and they link with
     nothing.  Repeated rows stay as they are, and rows of one doc_id with different texts are different documents; a row without a
@@ -458,11 +479,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drop_written(lists)
     comps = connected_components(links)
     label = classes.join(comps.withColumnRenamed("node", "s"), "s").groupBy("component").agg(F.min("rep").alias("least"))
-    named = comps.join(label, "component").select(F.col("node").alias("s"), "least")
-    of_class = written(classes.join(named, "s", "left").select("s", "rep", F.coalesce("least", "rep").alias("component")), "named")
+    named = comps.join(label, "component").select(F.col("node").alias("s"), "least", F.col("component").alias("g"))
+    of_class = written(classes.join(named, "s", "left").select("s", "rep", F.coalesce("least", "rep").alias("component"), "g"), "named")
     for d in (classes, comps):
         drop_written(d)
-    return rows.join(of_class, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(of_class, "s", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("g", "s").alias("group_id"))
 
 
 def op9_components(docs: DataFrame) -> DataFrame:

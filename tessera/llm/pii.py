@@ -45,8 +45,8 @@ NUMERALS = frozenset([*SPELLED, *SIGNS])
 LETTERS = re.compile(r"[^\W\d_]+")
 # Letters that re.I takes for ASCII ones and lower() does not.
 FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
-# Last labels that an address in bare words ("name at host dot com") must end with.
-LAST_LABELS = frozenset("com org net edu gov info biz io co ai app dev me uk de fr es eu it nl ch at be us ca au in jp cn br pl se no dk fi ie pt mx ar example test".split())
+# Last labels that are no English words.
+LAST_LABELS = frozenset("com org net edu gov info biz io co ai app dev uk de fr es eu nl ch ca au jp cn br pl se dk fi ie pt mx ar example test".split())
 
 
 def _table() -> dict[int, str]:
@@ -63,6 +63,8 @@ ALIKE = re.compile("[" + "".join(re.escape(chr(c)) for c in TABLE) + "]")
 WORDS = "|".join(sorted(map(re.escape, {**SPELLED, **SIGNS}), key=len, reverse=True))
 RUN = re.compile(rf"(?<![^\W_])(?:(?:{WORDS})|[0-9+])(?:[\x20,.-]{{0,2}}(?:(?:(?<![^\W_])(?:{WORDS})(?![^\W_]))|[0-9]))+(?![^\W_])", re.I)
 ONE = re.compile(rf"{WORDS}|[0-9+]|[\x20,.-]+", re.I)
+#: A disguised dot between digits.
+DIGIT_DOT = re.compile(r"(?<=[0-9])(?:\x20*[\[({<]\x20*(?:dot|punkt|punto|point|\.)\x20*[\])}>]\x20*|\x20+(?:dot|punkt|punto|point)\x20+)(?=[0-9])", re.I)
 AT = r"(?:\x20*[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]\x20*|\x20+(?:at|arroba|arobase)\x20+|\x20*@\x20*)"
 DOT = r"(?:\x20*[\[({<]\x20*(?:dot|punkt|punto|point|\.)\x20*[\])}>]\x20*|\x20+(?:dot|punkt|punto|point)\x20+|\.)"
 DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*?)({AT})([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+)", re.I)
@@ -70,6 +72,8 @@ AT_RE, DOT_RE = re.compile(AT, re.I), re.compile(DOT, re.I)
 AT_HINT = re.compile(r"[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]|\x20(?:at|arroba|arobase)\x20|@", re.I)
 #: Signs of an address that counts as disguised without a disguised dot.
 SPACED = re.compile(r"[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]|\x20@|@\x20", re.I)
+#: "at this point in" is prose: after a bare "at" and "point" the last label must be one of LAST_LABELS.
+POINT = re.compile(r"\x20point\x20", re.I)
 DOT_HINT = re.compile(r"[\[({<]\x20*(?:dot|punkt|punto|point|\.)\x20*[\])}>]|\x20(?:dot|punkt|punto|point)\x20", re.I)
 
 
@@ -96,9 +100,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    rest = digits.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = emails(text)
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -127,7 +137,7 @@ def _address(m: re.Match) -> str | None:
     bare = at.strip().isalpha() and not DOT_HINT.search(host)
     if bare or at == "@" and not DOT_HINT.search(m[1] + host):
         return None
-    if DOT_HINT.search(host) and "[" not in host and "(" not in host and re.split(DOT_RE, host)[-1].lower() not in LAST_LABELS:
+    if POINT.search(host) and at.strip().isalpha() and re.split(DOT_RE, host)[-1].lower() not in LAST_LABELS:
         return None
     return DOT_RE.sub(".", m[1]) + "@" + DOT_RE.sub(".", host)
 
@@ -151,6 +161,8 @@ def normalise(text: str) -> Mapped:
     words = LETTERS.findall((now.text if now.text.isascii() else now.text.translate(FOLD)).lower())
     if b"\1\1" in bytes([w in NUMERALS for w in words]):
         now = now.sub(RUN, _digits)
+    if DOT_HINT.search(now.text):
+        now = now.sub(DIGIT_DOT, lambda m: ".")
     if SPACED.search(now.text) or DOT_HINT.search(now.text) and AT_HINT.search(now.text):
         now = now.sub(DISGUISED, _address)
     return now
@@ -178,4 +190,8 @@ def scan_pii(df: DataFrame, key: str = "doc_id", text: str = "text", out: str =
 
 
 def op8_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_<kind> and base_sha256 of the base spans, and all spans, of every row.
+
+    Null and empty texts have no spans; texts are whole however long; repeated rows and null doc_ids stay; spans with one start are
+    ordered by kind, end and value; other columns take no part, whatever their names; an empty table gives no rows."""
     return digest(scan_pii(docs), KINDS, "doc_id", "pii")

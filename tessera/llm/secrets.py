@@ -5,7 +5,8 @@ base64 runs are decoded, and what comes out compressed is unpacked.  Each new te
 gives a new one: a layer whose text was seen before at the same source span is dropped, which also ends cycles.  Layers remember
 the source span of each character, so findings map back to the document.
 
-Base64 runs are also joined over line breaks.  Bytes that are not nearly all printable UTF-8 are read as Latin-1.  Streams that
+Percent and Unicode escapes are undone character by character, so findings keep exact spans; what a compressed run holds maps to the
+whole run, and several findings in one stay apart by their values.  Base64 runs are also joined over line breaks.  Bytes that are not nearly all printable UTF-8 are read as Latin-1.  Streams that
 unpack to more than a block are read block by block; blocks end and overlap at line ends.
 """
 
@@ -34,8 +35,8 @@ KINDS = ("assign", "access", "hex")
 UNPACK_BYTES, OVERLAP = 16_000_000, 65_536
 #: Bytes that a decompressor returns at once.
 PIECE = 1_000_000
-#: Shortest base64 run that is decoded.
-BASE64_CHARS = 16
+#: Shortest base64 run that is decoded, and how far into a run a path may reach that stands before it.
+BASE64_CHARS, PATH = 16, 256
 
 # The base patterns.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -159,14 +160,28 @@ def readable(data: bytes) -> str:
     return text if odd * 20 <= len(text) else data.decode("latin-1")
 
 
+def _utf16(data: bytes) -> str | None:
+    """Bytes read as UTF-16, if one of two bytes is zero in a tenth of the pairs or more; they may be something else as well."""
+    if len(data) < 8:
+        return None
+    low, high = data[1::2].count(0), data[::2].count(0)
+    if max(low, high) * 20 < len(data):
+        return None
+    return data[: len(data) // 2 * 2].decode("utf-16-le" if low >= high else "utf-16-be", "replace")
+
+
 def _texts(data: bytes):
     """The texts in bytes: blocks of what they unpack to, or else themselves; with whether positions of bytes are kept."""
     packed = False
     for block in unpack(data):
         packed = True
         yield readable(block), False
+        if wide := _utf16(block):
+            yield wide, False
     if data and not packed:
         yield readable(data), True
+        if wide := _utf16(data):
+            yield wide, False
 
 
 def _byte_layer(text: str, kept: bool, start: np.ndarray, end: np.ndarray) -> Mapped:
@@ -180,17 +195,32 @@ def _byte_layer(text: str, kept: bool, start: np.ndarray, end: np.ndarray) -> Ma
     return Mapped(text, start[stop - sizes], end[stop - 1])
 
 
-def _unescape_percent(m: re.Match) -> str | None:
+def _unescape_percent(m: re.Match) -> tuple | None:
+    """The bytes of a run as text, each character with its own escapes; None for a compressed stream."""
     data = bytes.fromhex(m[0].replace("%", ""))
-    return next((t for t, _ in _texts(data)), None)
-
-
-def _unescape_unicode(m: re.Match) -> str | None:
-    units = [int(a or b, 16) for a, b in UNICODE_ONE.findall(m[0])]
-    if any(u > 0x10FFFF for u in units):
+    if _is_stream(data):
         return None
-    joined = "".join(map(chr, units)).encode("utf-16-le", "surrogatepass")
-    return joined.decode("utf-16-le", "replace")
+    text = readable(data)
+    sizes = np.ones(len(text), int) if len(text) == len(data) else np.array([len(c.encode()) for c in text])
+    last = np.cumsum(sizes) * 3
+    return text, last - sizes * 3, last
+
+
+def _unescape_unicode(m: re.Match) -> tuple | None:
+    """The characters of a run of escapes, each with its own; two escapes of a surrogate pair are one character."""
+    out, first, last = [], [], []
+    for x in UNICODE_ONE.finditer(m[0]):
+        unit = int(x[1] or x[2], 16)
+        if unit > 0x10FFFF:
+            return None
+        if out and 0xDC00 <= unit < 0xE000 and 0xD800 <= out[-1] < 0xDC00:
+            out[-1] = 0x10000 + ((out[-1] - 0xD800) << 10) + unit - 0xDC00
+            last[-1] = x.end()
+        else:
+            out.append(unit)
+            first.append(x.start())
+            last.append(x.end())
+    return "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in out), np.array(first), np.array(last)
 
 
 def decoded_layers(layer: Mapped):
@@ -201,9 +231,19 @@ def decoded_layers(layer: Mapped):
             new = layer.sub(pattern, change)
             if new is not layer:
                 yield new
+    for m in PERCENT.finditer(text) if "%" in text else ():
+        data = bytes.fromhex(m[0].replace("%", ""))
+        if _is_stream(data):
+            at = np.arange(m.start(), m.end(), 3)
+            for inner, kept in _texts(data):
+                yield _byte_layer(inner, kept, layer.start[at], layer.end[at + 2])
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
         yield from _base64_layers(layer, run, np.arange(m.start(), m.start() + len(run)))
+        # a slash may end a path before the run, and is also a digit of it
+        for k in [i + 1 for i, c in enumerate(run[:PATH]) if c == "/" and len(run) - i > BASE64_CHARS] if "/" in run[:PATH] and not _sound(run) else ():
+            if k % 4 and _sound(run[k:]):
+                yield from _base64_layers(layer, run[k:], np.arange(m.start() + k, m.start() + len(run)))
     for m in WRAPPED.finditer(text) if "\n" in text else ():
         lines = [x.span() for x in PART.finditer(text, *m.span())]
         for group in _groups(lines):
@@ -224,11 +264,26 @@ def _groups(lines: list[tuple[int, int]]):
         i = k
 
 
+def _decoded(run: str) -> bytes:
+    """The bytes of a base64 run; a last digit that stands alone is left out."""
+    n = len(run) - (len(run) % 4 == 1)
+    return base64.b64decode(run[:n].replace("-", "+").replace("_", "/") + "=" * (-n % 4))
+
+
+def _sound(run: str) -> bool:
+    """Whether a base64 run holds a compressed stream or printable UTF-8."""
+    try:
+        data = _decoded(run)
+        return _is_stream(data) or readable(data) == data.decode()
+    except (binascii.Error, UnicodeDecodeError):
+        return False
+
+
 def _base64_layers(layer: Mapped, run: str, at: np.ndarray):
     """Layers of a base64 run whose characters stand at these places of the layer's text."""
     n = len(run) - (len(run) % 4 == 1)
     try:
-        data = base64.b64decode(run[:n].replace("-", "+").replace("_", "/") + "=" * (-n % 4))
+        data = _decoded(run)
     except binascii.Error:
         return
     for inner, kept in _texts(data):
@@ -297,4 +352,8 @@ def redact_secrets(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op1_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_<kind> and base_sha256 of the base spans, and all spans, of every row.
+
+    Null and empty texts have no spans; texts are whole however long; repeated rows and null doc_ids stay; spans with one start are
+    ordered by kind, end and value; other columns take no part, whatever their names; an empty table gives no rows."""
     return digest(scan_secrets(docs), KINDS, "doc_id", "secrets")

@@ -27,17 +27,21 @@ class Mapped:
         return int(self.start[s]), int(self.end[e - 1])
 
     def sub(self, pattern: re.Pattern, change) -> "Mapped":
-        """The text with change(match) in place of each match; all its characters map to the match's whole source span.
-        change may return None to leave a match as it is."""
+        """The text with change(match) in place of each match; all its characters map to the match's whole source span, unless
+        change also returns the start and end of each of them within the match.  None leaves a match as it is."""
         out, s, e, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = change(m)
             if new is None or m.end() == m.start():
                 continue
+            if isinstance(new, tuple):
+                new, first, last = new
+                a, b = self.start[m.start() + first], self.end[m.start() + last - 1]
+            else:
+                a, b = (np.full(len(new), x) for x in self.source(m.start(), m.end()))
             out += [self.text[at : m.start()], new]
-            a, b = self.source(m.start(), m.end())
-            s += [self.start[at : m.start()], np.full(len(new), a)]
-            e += [self.end[at : m.start()], np.full(len(new), b)]
+            s += [self.start[at : m.start()], a]
+            e += [self.end[at : m.start()], b]
             at = m.end()
         if not out:
             return self
@@ -81,8 +85,11 @@ def _is(kind: str):
 
 
 def ordered(found: set, text: str, kinds: tuple[str, ...], base: list) -> list[tuple]:
-    """(kind, start, end, base, value) by start, then kind, then end; found: added (kind, start, end, value)."""
+    """(kind, start, end, base, value) by start, then kind, then end; found: added (kind, start, end, value).
+
+    Different values from one source span stay apart, as one encoded run can hold several."""
     rank = {k: i for i, k in enumerate(kinds)}
-    known = {(k, s, e) for k, s, e in base}
-    rows = [(k, s, e, True, text[s:e]) for k, s, e in base] + [(k, s, e, False, v) for (k, s, e), v in {(k, s, e): v for k, s, e, v in sorted(found)}.items() if (k, s, e) not in known]
-    return sorted(rows, key=lambda x: (x[1], rank[x[0]], x[2]))
+    rows = [(k, s, e, True, text[s:e]) for k, s, e in base]
+    known = {(k, s, e, v) for k, s, e, _, v in rows}
+    rows += [(k, s, e, False, v) for k, s, e, v in found if (k, s, e, v) not in known]
+    return sorted(rows, key=lambda x: (x[1], rank[x[0]], x[2], not x[3], x[4]))
