@@ -18,34 +18,46 @@ from tessera.llm.secrets import redact_secrets
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; null texts and texts without a letter go.  A null lang is filled with the predicted
-    one; other values of lang stay."""
+    one; other values of lang stay.  Null ids and repeated rows stay; other columns stay whatever their names."""
     got = identify(docs, fit_model(docs.where(~held_out()))).where(F.col("lang_pred") != UNKNOWN)
     return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates; of rows with one doc_id the first by text.
+    """The document of least doc_id of each group of near duplicates (nulls last, then by the text's hash); of equal rows one.
 
-    Documents that link with nothing stay.  Rows with a null doc_id name no group and stay."""
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.struct("text", "source")).alias("r"))
-    return one.select("doc_id", "r.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    Documents that link with nothing stay, and so do texts without a word.  Different texts under one doc_id are different
+    documents; columns beside doc_id and text take no part in the choice, and of rows equal in these any one stays."""
+    groups = written(near_duplicates(docs), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    least = groups.where("group_id is not null").groupBy("group_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
+    key = ["__id", "__null", "__hash"]
+    names = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_hash").alias("__hash")]
+    named = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).select(*docs.columns, *names)
+    worded = named.join(least.select(*names), key, "left_semi").dropDuplicates(key)
+    wordless = named.join(groups.where("group_id is null").select(*names).distinct(), key, "left_semi")
+    return worded.unionByName(wordless).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that no benchmark item contaminates.
+
+    Rows are named by a hash of doc_id and text, so a null or shared doc_id keeps no contaminated row and loses no clean one; null
+    and empty texts stay, repeated rows stay or go together."""
+    named = docs.withColumn("__row", F.xxhash64(F.lit("row"), "doc_id", F.col("text").cast("string")))
+    found = find_contamination(named.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
+    return named.join(found, "__row", "left_anti").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each span of a secret, base or decoded, replaced by the name of its kind, and n_chars made to match."""
+    """All documents, with each span of a secret, base or decoded, replaced by the name of its kind, and n_chars made to match.
+
+    Null texts stay null, with a null n_chars; empty ones, null ids and repeated rows stay as they are."""
     return redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of all documents."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of all documents; nulls and repeated rows as op10_digest says."""
     return op10_digest(docs)
 
 
