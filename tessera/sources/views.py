@@ -57,18 +57,74 @@ ACTS = {
     "description": "CASE WHEN user_id % 4 = 0 THEN 'a person' ELSE 'a person wearing a ' || " + pick("user_id % 5", ["blue", "red", "gray", "green", "black"]) + " || ' top' END",
 }
 
-VIEWS = {"obj": ("lineitem", DRIVING, _ONE), "acts": ("events", ACTS, None)}
+def _say(index: str, texts: list[str]) -> str:
+    return pick(index, [t.replace("'", "''") for t in texts])
+
+
+#: Generated questions with what their checks look for, right and wrong ones alike.
+QUESTIONS = {
+    "slot": "substr(CAST(ts AS STRING), 1, 10)",
+    "n": "event_id",
+    "category": pick("event_id % 6", ["temporal", "event_ordering", "spatial", "summarization", "counting", "best_camera"]),
+    "question": _say(
+        "(event_id * 7 + user_id) % 10",
+        [
+            "Which came first: a person opens a door or a person close the trunk?",
+            "How do a orange car and the the person move?",
+            "What happens at 127s on camera G300?",
+            "What does someone do around the 5 mark, leavesing the {slot}?",
+            "How many times does a person wearing a blue top sit down? person_sits_down",
+            "Which event is first, frame 381 or 12.10-13.20s?",
+            "Identify the order of evt_12 and cluster_3 for entity_a.",
+            "Which camera shows a person who opens the door?",
+            "How long is a unique event of 42 seconds for a user?",
+            "Who is missing after crossing the street?",
+        ],
+    ),
+    "naturalized": "event_id % 2 = 0",
+    "correct_idx": "CAST(event_id % 5 AS INT)",
+    "cnt": "event_id % 23",
+    "reasoning": _say("event_id % 5", ["", "The action was observed 3 times.", "the blue door occurred first, as seen.", "It was observed 12 times across cameras.", "Both are seen once."]),
+    "a_camera": "'G' || CAST(300 + user_id % 8 AS STRING)",
+    "b_camera": "'G' || CAST(300 + event_id % 8 AS STRING)",
+    "a_start": "event_id % 300",
+    "a_end": "event_id % 300 + user_id % 7",
+    "b_start": "(event_id * 3) % 300",
+    "gap_ds": "event_id % 250 - 5",
+    "a_desc": pick("user_id % 5", ["a person", "a person in a blue top", "a person in a red top", "someone", ""]),
+    "b_desc": pick("event_id % 4", ["a person", "a person in a blue top", "a vehicle", "a person in black pants"]),
+    "distance_dm": "CASE WHEN event_id % 37 = 0 THEN NULL ELSE (event_id * 13) % 250 END",
+    "proximity": pick("event_id % 3", ["near", "moderate", "far"]),
+    "crosses": "event_id % 11 = 0",
+    "n_ordered": "2 + event_id % 3",
+    "o1": "event_id % 40",
+    "o2": "(event_id * 7) % 40",
+    "o3": "(event_id * 11) % 40",
+    "min_gap_ds": "event_id % 60",
+    "question_type": "CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'first' END",
+    "correct_camera": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE 'G300' END",
+}
+_ANSWERS = {
+    **{f"option_{i}": f"CASE category WHEN 'counting' THEN CAST(cnt + {i} - CASE WHEN n % 17 = 0 AND {i} = 3 THEN 1 ELSE 0 END AS STRING) ELSE 'Camera G' || CAST(300 + (n * {i + 1}) % 9 AS STRING) END" for i in range(4)},
+    "question_id": "'final_' || category || '_' || lpad(CAST(n AS STRING), 6, '0')",
+}
+_RIGHT = {"answer": "CASE WHEN n % 7 = 0 THEN 'a wrong answer' ELSE coalesce(CASE correct_idx " + " ".join(f"WHEN {i} THEN option_{i}" for i in range(4)) + " END, '') END"}
+
+#: Name of a view: its table, its columns in steps that may use those of the step before, and what makes rows one.
+VIEWS = {"obj": ("lineitem", [DRIVING], _ONE), "acts": ("events", [ACTS], None), "qa": ("events", [QUESTIONS, _ANSWERS, _RIGHT], None)}
 
 
 def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, columns, one = VIEWS[name]
-    got = table(spark, sf_dir, source).selectExpr(*[f"{e} AS {a}" for a, e in columns.items()], *([f"{one} AS r"] if one else []))
+    source, steps, one = VIEWS[name]
+    got = table(spark, sf_dir, source).selectExpr(*[f"{e} AS {a}" for a, e in steps[0].items()], *([f"{one} AS r"] if one else []))
+    for step in steps[1:]:
+        got = got.selectExpr("*", *[f"{e} AS {a}" for a, e in step.items()])
     return got.where("r = 1").drop("r") if one else got
 
 
 def cte(name: str) -> str:
-    source, columns, one = VIEWS[name]
-    chosen = ", ".join(f"{e} AS {a}" for a, e in columns.items())
-    if not one:
-        return f"{name} AS (SELECT {chosen} FROM {source})"
-    return f"{name} AS (SELECT * EXCLUDE (r) FROM (SELECT {chosen}, {one} AS r FROM {source}) WHERE r = 1)"
+    source, steps, one = VIEWS[name]
+    sql = f"SELECT {', '.join(f'{e} AS {a}' for a, e in steps[0].items())}{f', {one} AS r' if one else ''} FROM {source}"
+    for step in steps[1:]:
+        sql = f"SELECT *, {', '.join(f'{e} AS {a}' for a, e in step.items())} FROM ({sql})"
+    return f"{name} AS (SELECT * EXCLUDE (r) FROM ({sql}) WHERE r = 1)" if one else f"{name} AS ({sql})"
