@@ -47,3 +47,28 @@ def at_most(n: int, *columns: str) -> Callable[[dict, dict], bool]:
         return True
 
     return take
+
+
+def bucket_pick(candidates: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """count candidates of each key (h: hash order; key: what may be taken once; proximity; crosses): crossing ones first, then one
+    of each proximity, then others."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, taken, seen = frame.sort_values("h").to_dict("records"), [], set()
+
+        def take(some: list[dict], most: int) -> None:
+            for r in some:
+                if most <= 0 or len(taken) >= count:
+                    return
+                if r["key"] not in seen:
+                    seen.add(r["key"])
+                    taken.append(r)
+                    most -= 1
+
+        take([r for r in rows if r["crosses"]], count)
+        for bucket in ("near", "moderate", "far"):
+            take([r for r in rows if r["proximity"] == bucket], 1)
+        take(rows, count)
+        return pd.DataFrame(taken, columns=frame.columns)
+
+    return candidates.groupBy(*keys).applyInPandas(fold, candidates.schema)
