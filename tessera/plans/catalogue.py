@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import aggregates, driving, questions, spatial, temporal, texts, validation  # noqa: E402, F401
+from . import aggregates, driving, questions, spatial, temporal, texts, validation, words  # noqa: E402, F401

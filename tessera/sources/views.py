@@ -54,6 +54,13 @@ ACTS = {
     "start_ms": _MS,
     "end_ms": f"{_MS} + 500 + (event_id * 977) % 29500",
     "described": "user_id % 4 <> 0",
+    "other": pick("(event_id * 5 + 3) % 18", PERSON_ACTS + VEHICLE_ACTS),
+    "verb": pick("event_id % 16", "leaves purchases transfers runs sits dies sees makes walk hop passes pushes tie flee taxes stops".split()),
+    "told": "'a person wearing a ' || " + pick("user_id % 6", ["unknown", "blue", "indigo", "orange", "gray", "olive"]) + " || ' ' || " + pick("event_id % 5", ["upper body garment with a hood", "upper body garment", "hooded jacket", "top", "Upper body garment"]) + " || ' and ' || " + pick("event_id % 4", ["blue lower body clothing", "lower body shorts", "black pants", "a unknown lower body garment"]) + " || " + pick("event_id % 6", [", sitting on a chair near the wall.", "", ", with their back turned to us, alone.", ", while ascending a staircase. ", ",  sitting there", "."]),
+    "spoken": "'Someone ' || " + pick("event_id % 5", ["enters scene through structure", "entering a scene through structure", "exits scene through structure", "leaving scene through structure", "sits down"]) + " || ' now'",
+    "clip": "substr(CAST(ts AS STRING), 1, 10) || '.' || replace(substr(CAST(ts AS STRING), 12, 8), ':', '-') || '.' || replace(substr(CAST(ts AS STRING), 12, 8), ':', '-') || '.' || " + pick("user_id % 4", ["school", "bus", "admin", "hospital"]) + " || '.G' || CAST(300 + user_id % 8 AS STRING) || '.r13.avi'",
+    "reply": "'Here: ' || chr(10) || '```json' || chr(10) || props || chr(10) || '```'",
+    "lines": "'ACTIVITY:  walks' || CAST(event_id % 7 AS STRING) || chr(10) || 'DESCRIPTION: in blue ' || chr(10) || 'x'",
     "description": "CASE WHEN user_id % 4 = 0 THEN 'a person' ELSE 'a person wearing a ' || " + pick("user_id % 5", ["blue", "red", "gray", "green", "black"]) + " || ' top' END",
 }
 
@@ -110,8 +117,36 @@ _ANSWERS = {
 }
 _RIGHT = {"answer": "CASE WHEN n % 7 = 0 THEN 'a wrong answer' ELSE coalesce(CASE correct_idx " + " ".join(f"WHEN {i} THEN option_{i}" for i in range(4)) + " END, '') END"}
 
+_COLOURS = ["unknown", "blue", "navy", "dark red", "olive", "black", "indigo", "khaki", "white"]
+#: People as cameras describe them; four sightings are of one person.
+PEOPLE = {
+    "id": "p_partkey",
+    "cluster": "CAST((p_partkey - p_partkey % 4) / 4 AS BIGINT)",
+    "camera": "'G' || CAST(300 + (p_partkey * 7) % 8 AS STRING)",
+    "hair": pick("(p_partkey * 5) % 4", ["unknown", "black", "brown", "gray"]),
+    "upper": pick("(p_partkey * 5) % 9", _COLOURS),
+    "lower": pick("(p_partkey * 11) % 9", _COLOURS),
+    "lower_type": pick("p_partkey % 3", ["pants", "shorts", "skirt"]),
+    "shoe": pick("(p_partkey * 3) % 5", ["unknown", "white", "black", "unknown", "brown"]),
+    "upper_brightness": pick("p_partkey % 4", ["", "dark", "medium", "light"]),
+    "lower_brightness": pick("(p_partkey * 3) % 5", ["", "dark", "unknown", "light", ""]),
+    "upper_texture": pick("(p_partkey * 7) % 5", ["", "striped", "solid", "patterned", ""]),
+    "lower_texture": pick("(p_partkey * 3) % 4", ["", "solid", "patterned", ""]),
+    "accessories": pick("(p_partkey * 13) % 6", ["", "hat", "backpack,hat", "bag", "", "hat,umbrella"]),
+    "height": "60 + (p_partkey * 37) % 200",
+    "seen": pick("(p_partkey * 17) % 6", ["a person", "a person in a blue top and black pants", "a person wearing a red top", "a person in black shorts", "a person", "a person in navy top and khaki pants"]),
+    "gpt": pick("(p_partkey * 19) % 7", ["", "wearing a coat", "", "", "", "", ""]),
+    "vlm": pick("(p_partkey * 23) % 5", ["", "a man in a dark jacket", "a person", "", ""]),
+    "h": "(p_partkey * 29) % 181",
+    "s": "(p_partkey * 31) % 256",
+    "v": "(p_partkey * 41) % 256",
+    "dress": "(p_partkey * 3) % 120",
+    "skirt": "(p_partkey * 7) % 120",
+    "pants": "(p_partkey * 11) % 120",
+}
+
 #: Name of a view: its table, its columns in steps that may use those of the step before, and what makes rows one.
-VIEWS = {"obj": ("lineitem", [DRIVING], _ONE), "acts": ("events", [ACTS], None), "qa": ("events", [QUESTIONS, _ANSWERS, _RIGHT], None)}
+VIEWS = {"obj": ("lineitem", [DRIVING], _ONE), "acts": ("events", [ACTS], None), "people": ("part", [PEOPLE], None), "qa": ("events", [QUESTIONS, _ANSWERS, _RIGHT], None)}
 
 
 def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
