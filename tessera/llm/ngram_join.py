@@ -19,7 +19,9 @@ of a list are sets that link with hardly any, and pairs of those across componen
 the list.  So a group of n near copies takes some n comparisons, and no link between different components is missed: linked sets
 share a list, and either they are in one component already or the pair is compared.
 
-The list of a frequent shingle is salted: its sets lie in many tasks, and only its few pivots are sent to them.
+Postings are packed by buckets of keys before they are shuffled, and lists are put together in arrays.  The list of a frequent shingle
+is salted: its sets lie in many tasks, and only its few pivots are sent to them.  Keys of 32 bits and those of the bucket may be
+alike by chance, which only adds candidates.
 
 Pairs are compared in two steps.  A histogram of each set's hashes, of one byte for a bin, bounds the intersection from above;
 whole sets are joined only to pairs that the bound lets pass.
@@ -33,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, slices, small_batches, written
@@ -43,6 +45,8 @@ from .hashing import mix, span_hashes
 WORDS, PART, WHOLE = 5, 75, 100
 #: Shingles counted together in a task, and shingles of one bucket of the count, about.
 POOL, BUCKET = 1_500_000, 500_000
+#: Postings packed together in a task, and what is packed of one: the low bits of its key, its set, that set's size, its place there.
+POSTINGS, POSTING = 400_000, np.dtype([("low", "<u4"), ("s", "<i8"), ("n", "<u4"), ("place", "<u4")])
 #: Code points whose shingles are made at a time, and sets that a task remembers.
 SLICE, REMEMBERED = 500_000, 100_000
 #: Frequent shingles that order the lists: at least this count, and at most so many (16 bytes each, sent to all workers).
@@ -50,7 +54,7 @@ FREQUENT, MOST_FREQUENT = 6, 500_000
 MOST_BOUNDARY = 12
 #: Pivots of a list in a round; rounds go on while one closes this share of the open pairs, up to so many.
 PIVOTS, MUCH, MOST_ROUNDS = 8, 0.5, 6
-#: Sets of one cell of a list when all pairs are compared, and of one part of a salted list, about.
+#: Sets of one cell of a list when all pairs are compared, about, and sets from which on a list is salted.
 CELL, SALTED = 1_000, 4_000
 #: Lists with more than this share of all rows (at most 1 / HOT_SHARE of them) have their pivots sent to all tasks.
 HOT_SHARE = 1 / 20_000
@@ -288,27 +292,85 @@ class Lister:
 
 
 def _postings(src: DataFrame, boundary: int, frequent: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """key, salt (-1: the key is not salted), s, n, place of every set; sets that a task saw before are left out."""
+    """bucket, key (of a salted list, else null), packed: the postings of every set; sets that a task saw before are left out.
+
+    A bucket takes the keys with the same high bits, so that a list is in one bucket; a salted list, which holds more than one set
+    anyway, is dealt to buckets."""
     shared = src.sparkSession.sparkContext.broadcast(frequent)
+    bits = frequent[0]
+
+    def packed(parts: list[tuple]):
+        key, often, s, n, place = (np.concatenate(c) for c in zip(*parts))
+        rows, plain = [], ~often
+        prints = _prints(key[plain], bits)
+        order = np.argsort(prints >> 32, kind="stable")
+        bucket = (prints >> 32)[order]
+        post = np.zeros(len(order), POSTING)
+        post["low"], post["s"], post["n"], post["place"] = (prints & 0xFFFFFFFF)[order], s[plain][order], n[plain][order], place[plain][order]
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else [0]
+        rows += [(int(bucket[x]), None, post[x:y].tobytes()) for x, y in zip(edge, edge[1:])]
+        for k in np.unique(key[~plain]).tolist():
+            at = np.flatnonzero(~plain & (key == k))
+            post = np.zeros(len(at), POSTING)
+            post["s"], post["n"], post["place"] = s[at], n[at], place[at]
+            rows.append((int(s[at[0]]) % (1 << bits), k, post.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "key", "packed"])
 
     def run(batches):
-        lister, seen = Lister(boundary, *shared.value), set()
+        lister, seen, parts, size = Lister(boundary, *shared.value), set(), [], 0
         for batch in batches:
             for _, sets in _sets(batch, 0):
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for x in sets:
                     if not len(x) or (i := _set_id(x)) in seen:
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(i)
                     key, place, count = lister.keys(x)
-                    salt = np.where(count > SALTED, (i & 0x7FFFFFFF) % np.maximum(count // SALTED, 1), -1).astype(np.int32)
-                    for c, v in zip(cols, (key, salt, np.full(len(key), i), np.full(len(key), len(x), np.int32), place)):
-                        c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "salt", "s", "n", "place"])
+                    parts.append((key, count > SALTED, np.full(len(key), i), np.full(len(key), len(x), np.uint32), place.astype(np.uint32)))
+                    size += len(key)
+                if size >= POSTINGS:
+                    yield packed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield packed(parts)
+
+    return src.select("text").mapInArrow(run, "bucket int, key long, packed binary")
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """key, s, n, place of the sets of lists that have another set of a fitting size in their list (any, in a salted list)."""
+
+    def of(key, post: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(post["s"]), pa.array(post["n"].astype(np.int32)), pa.array(post["place"].astype(np.int32))], names=["key", "s", "n", "place"])
 
-    return src.select("text").mapInArrow(run, "key long, salt int, s long, n int, place int")
+    def met(bucket: int, parts: list[bytes]):
+        post = np.frombuffer(b"".join(parts), POSTING)
+        post = post[np.lexsort((post["s"], post["n"], post["low"]))]
+        again = (post["low"][1:] == post["low"][:-1]) & (post["s"][1:] == post["s"][:-1])
+        post = post[np.concatenate(([True], ~again))]
+        n = post["n"].astype(np.int64)
+        near = (post["low"][1:] == post["low"][:-1]) & (WHOLE * n[:-1] >= PART * n[1:])
+        post = post[np.concatenate(([False], near)) | np.concatenate((near, [False]))]
+        return of(post["low"].astype(np.int64) | bucket << 32, post)
+
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if key is not None:
+                    post = np.frombuffer(packed.as_buffer(), POSTING)
+                    yield of(np.full(len(post), key), post)
+                    continue
+                if bucket != now and parts:
+                    yield met(now, parts)
+                    parts = []
+                now = bucket
+                parts.append(packed.as_py())
+        if parts:
+            yield met(now, parts)
+
+    dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "key long, s long, n int, place int")
 
 
 def _may_meet(x: str, y: str):
@@ -318,15 +380,6 @@ def _may_meet(x: str, y: str):
     return left * (PART + WHOLE) >= n * PART
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """key, s, n, place of the sets of lists that have another set of a fitting size in their list (or part of a salted list)."""
-    once = postings.groupBy("key", "salt", "s").agg(F.first("n").alias("n"), F.first("place").alias("place"))
-    w = Window.partitionBy("key", "salt").orderBy("n", "s")
-    near = once.withColumns({"less": F.lag("n").over(w), "more": F.lead("n").over(w)})
-    fits = (WHOLE * F.col("less") >= PART * F.col("n")) | (WHOLE * F.col("n") >= PART * F.col("more"))
-    return near.where(F.coalesce(fits, F.lit(False)) | (F.col("salt") >= 0)).select("key", "s", "n", "place")
-
-
 def _values(src: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """s, bins, shingles (binary) of the sets in pairs, from the texts of their classes' least doc_ids."""
     ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct().join(classes.select("s", F.col("rep").alias("doc_id")), "s")
