@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 def greedy(candidates: DataFrame, keys: list[str], order: list[str], take: Callable[[dict, dict], bool]) -> DataFrame:
     """The candidates of each key that take(state, row) accepts, in the given order; take may change the state.
 
-    A slot's candidates are one group: a slot is a few minutes of a few cameras, whatever the number of slots."""
+    A key's candidates are one group, so the keys must bound it (a run of events, the best candidates of a slot)."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         state: dict = defaultdict(set)

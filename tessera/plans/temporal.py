@@ -113,9 +113,10 @@ def j23_absent_actors(spark, sf_dir):
     return seen.join(slots, "camera_id").select("actor_id", (F.col("n") - F.col("m")).alias("n_absent")).where("n_absent > 0")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j26_missing(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey", "c_nationkey")
+    """Customers without an urgent order."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey", "c_nationkey")
 
 
 @query("WITH " + EV + """, m AS (SELECT *, CASE WHEN lag(activity) OVER w = activity AND start_ms - lag(end_ms) OVER w <= 21600000 THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY slot, camera_id ORDER BY start_ms, event_id)),

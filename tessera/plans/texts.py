@@ -71,13 +71,13 @@ def x12_hsv_color(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS x1, l_suppkey % 50 AS y1, l_partkey % 50 + 10 AS x2, l_suppkey % 50 + 10 AS y2 FROM lineitem),
- i AS (SELECT a.l_orderkey, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS w FROM b a JOIN b b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)
- SELECT l_orderkey, w * 100 // (200 - w) AS iou_percent FROM i""")
+ i AS (SELECT a.l_orderkey, a.l_linenumber, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS w FROM b a JOIN b b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+ SELECT l_orderkey, l_linenumber, w * 100 // (200 - w) AS iou_percent FROM i""")
 def geo05_iou(spark, sf_dir):
     box = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("struct(l_partkey % 50 as x, l_suppkey % 50 as y)").alias("p"))
-    a, b = (box.where(f"l_linenumber = {n}").select("l_orderkey", F.col("p").alias(s)) for n, s in ((1, "a"), (2, "b")))
+    a, b = (box.select("l_orderkey", (F.col("l_linenumber") - n).alias("l_linenumber"), F.col("p").alias(s)) for n, s in ((0, "a"), (1, "b")))
     corner = lambda s: (F.col(f"{s}.x"), F.col(f"{s}.y"), F.col(f"{s}.x") + 10, F.col(f"{s}.y") + 10)
-    return a.join(b, "l_orderkey").select("l_orderkey", F.floor(geometry.iou(corner("a"), corner("b")) * 100 + 1e-9).alias("iou_percent"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.floor(geometry.iou(corner("a"), corner("b")) * 100 + 1e-9).alias("iou_percent"))
 
 
 @query("""WITH d AS (SELECT vec_id, degrees(atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE))) AS a FROM embeddings)
@@ -147,12 +147,13 @@ def e02_frame_indices(spark, sf_dir):
 
 @query("""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS s FROM conversations),
  g AS (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest(s) AS w FROM t) GROUP BY ALL)
- SELECT a.conv_id, CAST(sum(least(a.c, b.c)) AS BIGINT) AS matched FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1 AND a.w = b.w GROUP BY a.conv_id""")
+ SELECT a.conv_id, a.turn, CAST(sum(least(a.c, b.c)) AS BIGINT) AS matched FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn % 2 = 0 AND b.turn = a.turn + 1 AND a.w = b.w GROUP BY a.conv_id, a.turn""")
 def e06_rouge(spark, sf_dir):
-    """Clipped unigram matches of the first answer with its question."""
+    """Clipped unigram matches of each answer with its question."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    g = table(spark, sf_dir, "conversations").where("turn in (0, 1)").select("conv_id", "turn", F.explode(words).alias("w")).groupBy("conv_id", "w").agg(F.count_if(F.expr("turn = 0")).alias("x"), F.count_if(F.expr("turn = 1")).alias("y"))
-    return g.groupBy("conv_id").agg(F.sum(F.least("x", "y")).alias("matched"), F.max(F.least("x", "y")).alias("m")).where("m > 0").drop("m")
+    g = table(spark, sf_dir, "conversations").select("conv_id", F.expr("turn - turn % 2").alias("turn"), (F.col("turn") % 2).alias("side"), F.explode(words).alias("w"))
+    g = g.groupBy("conv_id", "turn", "w").agg(F.count_if(F.expr("side = 0")).alias("x"), F.count_if(F.expr("side = 1")).alias("y"))
+    return g.groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("matched"), F.max(F.least("x", "y")).alias("m")).where("m > 0").drop("m")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS actor_id, l_suppkey AS frame, 1 AS x1, 2 AS y1, l_suppkey + 3 AS x2, 9 AS y2 FROM lineitem")
