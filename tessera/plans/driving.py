@@ -369,3 +369,190 @@ def g08_event_chain(spark, sf_dir):
 
     e = d.activity_intervals(objects(spark, sf_dir)).select("scene", "obj", "cls", "activity", "first", "last")
     return e.groupBy("scene").applyInPandas(chain, "scene long, obj long, cls string, activity string, first long, last long, place long")
+
+
+_GAPS = """, gp AS (SELECT a.scene, a.obj AS a_obj, a.cls AS a_cls, a.activity AS a_activity, a.f0 AS a_f0, a.f1 AS a_f1, b.obj AS b_obj, b.cls AS b_cls, b.activity AS b_activity, b.f0 AS b_f0, b.f1 AS b_f1, r.frame, src, tgt, dir FROM evt a JOIN evt b ON a.scene = b.scene AND a.f1 + 10 < b.f0
+ JOIN rels r ON r.scene = a.scene AND r.frame BETWEEN a.f1 + 5 AND b.f0 - 5 AND src NOT IN (a.obj, b.obj) AND tgt NOT IN (a.obj, b.obj))"""
+_TEXTS = lambda t, frame: f"""LEFT JOIN obj so ON so.scene = {t}.scene AND so.frame = {t}.{frame} AND so.obj = {t}.src LEFT JOIN ann sa ON sa.scene = {t}.scene AND sa.obj = {t}.src LEFT JOIN obj po ON po.scene = {t}.scene AND po.frame = {t}.{frame} AND po.obj = {t}.tgt LEFT JOIN ann ta ON ta.scene = {t}.scene AND ta.obj = {t}.tgt"""
+_S, _T = _ground("coalesce(so.cls, 'unknown')", "sa"), _ground("coalesce(po.cls, 'unknown')", "ta")
+
+
+def _say(*parts):
+    """Columns and 'texts joined."""
+    return F.concat(*[F.lit(p[1:]) if isinstance(p, str) and p.startswith("'") else F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+def _spaced(c: str):
+    return F.replace(c, F.lit("_"), F.lit(" "))
+
+
+@query(f"""WITH {BOTH}{_ANN}{_GAPS}, pk AS {_least("gp", "scene", "a_obj, a_f0, b_obj, b_f0, frame, src, tgt", "frame")}
+ SELECT pk.scene, 'Between ' || {_ground("a_cls", "aa")} || ' ' || a_activity || ' (ends frame ' || a_f1 || ') and ' || {_ground("b_cls", "ba")} || ' ' || b_activity || ' (starts frame ' || b_f0 || ')' AS grounding_anchor,
+ 'At frame ' || pk.frame || ': ' || {_T} || ' is ' || {_of('dir')} || ' ' || {_S} AS spatial_context, 'Gap: frames ' || (a_f1 + 5) || '-' || (b_f0 - 5) AS temporal_context
+ FROM pk {_TEXTS('pk', 'frame')} LEFT JOIN ann aa ON aa.scene = pk.scene AND aa.obj = a_obj LEFT JOIN ann ba ON ba.scene = pk.scene AND ba.obj = b_obj""")
+def q12_intermediary(spark, sf_dir):
+    """Two events as anchors, and a relation of other objects between them."""
+    o, r, e = parts(spark, sf_dir)
+    one = d.first_by_hash(d.gap_relations(e, r), ["scene"], "a_obj", "a_first", "b_obj", "b_first", "frame", "src", "tgt")
+    t = described(described(one, o, "src", "frame", "s_text"), o, "tgt", "frame", "t_text")
+    t = named(named(t, o, "a_", "a_text"), o, "b_", "b_text")
+    return t.select(
+        "scene",
+        _say("'Between ", "a_text", "' ", "a_activity", "' (ends frame ", "a_last", "') and ", "b_text", "' ", "b_activity", "' (starts frame ", "b_first", "')").alias("grounding_anchor"),
+        _say("'At frame ", "frame", "': ", "t_text", "' is ", _spaced("dir"), "' ", "s_text").alias("spatial_context"),
+        _say("'Gap: frames ", F.col("a_last") + d.BUFFER, "'-", F.col("b_first") - d.BUFFER).alias("temporal_context"),
+    )
+
+
+@query(f"""WITH {BOTH}{_ANN}{_FR}, w AS (SELECT scene, obj, cls, activity, f0, f1, side, CASE WHEN side = 'before' THEN greatest(0, f0 - 5) ELSE f1 + 5 END AS wanted FROM evt, (VALUES ('before'), ('after')) AS s(side)),
+ t AS (SELECT w.*, i, fr.frame FROM w, {_SNAPS}, fr WHERE fr.scene = w.scene AND fr.frame = wanted + k.o), b AS (SELECT * EXCLUDE (i, tr) FROM (SELECT *, row_number() OVER (PARTITION BY scene, obj, f0, f1, side ORDER BY i) AS tr FROM t) WHERE tr = 1),
+ sn AS (SELECT b.*, src, tgt, dir FROM b JOIN rels ON rels.scene = b.scene AND rels.frame = b.frame), pk AS {_least("sn", "scene", "obj, f0, side, src, tgt", "frame")}
+ SELECT pk.scene, 'Right ' || side || ' ' || {_ground("pk.cls", "ea")} || ' ' || pk.activity || ' (event frames ' || f0 || '-' || f1 || ')' AS grounding_anchor, 'What is ' || {_of('dir')} || ' ' || {_S} || ' at frame ' || pk.frame || '? (Correct: ' || {_T} || ')' AS target_query
+ FROM pk {_TEXTS('pk', 'frame')} LEFT JOIN ann ea ON ea.scene = pk.scene AND ea.obj = pk.obj""")
+def q12_snapshot(spark, sf_dir):
+    """An event's begin or end as anchor, and a relation at that moment."""
+    o, r, e = parts(spark, sf_dir)
+    sides = F.array(F.struct(F.lit("before").alias("side"), F.greatest(F.lit(0), F.col("first") - d.BUFFER).alias("wanted")), F.struct(F.lit("after").alias("side"), (F.col("last") + d.BUFFER).alias("wanted")))
+    w = e.select("scene", F.col("obj").alias("e_obj"), F.col("cls").alias("e_cls"), "activity", F.col("first").alias("f0"), F.col("last").alias("f1"), F.inline(sides))
+    got = d.snapped(w, o, "wanted", "frame").join(r, ["scene", "frame"])
+    one = d.first_by_hash(got, ["scene"], "e_obj", "f0", "side", "src", "tgt")
+    t = named(described(described(one, o, "src", "frame", "s_text"), o, "tgt", "frame", "t_text"), o, "e_", "e_text")
+    return t.select("scene", _say("'Right ", "side", "' ", "e_text", "' ", "activity", "' (event frames ", "f0", "'-", "f1", "')").alias("grounding_anchor"), _say("'What is ", _spaced("dir"), "' ", "s_text", "' at frame ", "frame", "'? (Correct: ", "t_text", "')").alias("target_query"))
+
+
+@query(f"""WITH {BOTH}{_ANN}{_TWO}, be AS (SELECT two.*, e.obj, e.cls, e.activity, e.f0, e.f1 FROM two JOIN evt e ON e.scene = two.scene AND e.f0 >= p_frame + 5 AND e.f1 <= q_frame - 5 AND p_frame + 5 < q_frame - 5), pk AS {_least("be", "scene", "obj, f0", "f0")},
+ p AS (SELECT scene, p_frame AS frame, p_src AS src, p_tgt AS tgt, p_dir AS dir FROM pk), q AS (SELECT scene, q_frame AS frame, q_src AS src, q_tgt AS tgt, q_dir AS dir FROM pk),
+ pt AS (SELECT p.scene, {_T} || ' is ' || {_of('dir')} || ' ' || {_S} AS said FROM p {_TEXTS('p', 'frame')}), qt AS (SELECT q.scene, {_T} || ' is ' || {_of('dir')} || ' ' || {_S} AS said FROM q {_TEXTS('q', 'frame')})
+ SELECT pk.scene, 'S1: ' || pt.said || ' | S2: ' || qt.said AS spatial_context, 'What happens in between S1 and S2? (Correct: ' || {_ground("pk.cls", "ea")} || ' ' || pk.activity || ', frames ' || f0 || '-' || f1 || ')' AS target_query
+ FROM pk JOIN pt ON pt.scene = pk.scene JOIN qt ON qt.scene = pk.scene LEFT JOIN ann ea ON ea.scene = pk.scene AND ea.obj = pk.obj""")
+def q12_in_between(spark, sf_dir):
+    """Two spatial states as anchors, and an event between them."""
+    o, r, e = parts(spark, sf_dir)
+    one = d.first_by_hash(d.between_events(d.second_states(r, d.states(r)), e), ["scene"], "e_obj", "e_first")
+    t = one
+    for s in "pq":
+        t = described(described(t, o, f"{s}_src", f"{s}_frame", f"{s}_s"), o, f"{s}_tgt", f"{s}_frame", f"{s}_t")
+    t = named(t, o, "e_", "e_text")
+    said = lambda s: _say(f"{s}_t", "' is ", _spaced(f"{s}_dir"), "' ", f"{s}_s")
+    return t.select("scene", _say("'S1: ", said("p"), "' | S2: ", said("q")).alias("spatial_context"), _say("'What happens in between S1 and S2? (Correct: ", "e_text", "' ", "e_activity", "', frames ", "e_first", "'-", "e_last", "')").alias("target_query"))
+
+
+@query(f"""WITH {RELS}{_STATE}{_ANN} SELECT st.scene, CASE WHEN substr(md5('42::' || st.scene || '::ego'), 1, 1) < '8' THEN 'What object is ' || {_of('dir')} || ' of ' || {_S} || '?' ELSE 'Where is ' || {_T} || ' relative to ' || {_S} || '?' END AS question,
+ CASE WHEN substr(md5('42::' || st.scene || '::ego'), 1, 1) < '8' THEN {_T} ELSE {_of('dir')} END AS answer FROM st {_TEXTS('st', 'frame')}""")
+def q12_egocentric(spark, sf_dir):
+    """What is in a direction of an object, or where another is."""
+    o, r, _ = parts(spark, sf_dir)
+    t = described(described(d.states(r), o, "src", "frame", "s_text"), o, "tgt", "frame", "t_text")
+    what = F.substring(d.hashed("scene", F.lit("ego")), 1, 1) < "8"
+    q = F.when(what, _say("'What object is ", _spaced("dir"), "' of ", "s_text", "'?")).otherwise(_say("'Where is ", "t_text", "' relative to ", "s_text", "'?"))
+    return t.select("scene", q.alias("question"), F.when(what, F.col("t_text")).otherwise(_spaced("dir")).alias("answer"))
+
+
+@query(f"""WITH {RELS}{_NEARER}{_ANN}, pk AS {_least("nq", "scene", "frame, src", "frame")}, dd AS (SELECT pk.*, n.d2 AS n2, f.d2 AS f2 FROM pk JOIN rels n ON n.scene = pk.scene AND n.frame = pk.frame AND n.src = pk.src AND n.tgt = nearer JOIN rels f ON f.scene = pk.scene AND f.frame = pk.frame AND f.src = pk.src AND f.tgt = farther)
+ SELECT scene, frame, src, nearer, farther, CAST(floor(sqrt(n2) * 10) AS BIGINT) AS near_dm, CAST(floor(sqrt(f2) * 10) AS BIGINT) AS far_dm, substr(md5('42::' || scene || '::hop'), 1, 1) < '8' AS ask_nearer FROM dd""")
+def q12_multihop(spark, sf_dir):
+    """Which of two objects is nearer to a third, with their distances."""
+    _, r, _ = parts(spark, sf_dir)
+    one = d.first_by_hash(d.nearer_farther(r), ["scene"], "frame", "src")
+    far = lambda who, out: r.select("scene", "frame", "src", F.col("tgt").alias(who), F.floor(F.sqrt("d2") * 10).alias(out))
+    got = one.join(far("nearer", "near_dm"), ["scene", "frame", "src", "nearer"]).join(far("farther", "far_dm"), ["scene", "frame", "src", "farther"])
+    return got.select("scene", "frame", "src", "nearer", "farther", "near_dm", "far_dm", (F.substring(d.hashed("scene", F.lit("hop")), 1, 1) < "8").alias("ask_nearer"))
+
+
+_KINDS = ["sequential", "between", "snapshot", "intermediary", "comparative"]
+
+
+@query(f"""WITH {BOTH}{_TWO}{_CHANGES}{_GAPS}, av AS (SELECT DISTINCT st.scene, 'sequential' AS kind FROM st JOIN evt e ON e.scene = st.scene AND e.obj NOT IN (src, tgt) AND (e.f0 > st.frame + 5 OR e.f1 < st.frame - 5)
+ UNION SELECT two.scene, 'between' FROM two JOIN evt e ON e.scene = two.scene AND e.f0 >= p_frame + 5 AND e.f1 <= q_frame - 5 AND p_frame + 5 < q_frame - 5 UNION SELECT scene, 'comparative' FROM ch UNION SELECT scene, 'intermediary' FROM gp)
+ SELECT scene, arg_min(kind, md5('42::' || scene || '::' || kind)) AS kind, count(*) AS n_possible FROM av GROUP BY scene""")
+def h16_category_choice(spark, sf_dir):
+    """The category of each scene's question: of those that have one, by hash."""
+    o, r, e = parts(spark, sf_dir)
+    st = d.states(r)
+    have = {"sequential": d.adjacent_events(st, e), "between": d.between_events(d.second_states(r, st), e), "comparative": d.changes(e, r, o), "intermediary": d.gap_relations(e, r)}
+    av = None
+    for kind, df in have.items():
+        one = df.select("scene").distinct().withColumn("kind", F.lit(kind))
+        av = one if av is None else av.unionByName(one)
+    return av.groupBy("scene").agg(F.min(F.struct(d.hashed("scene", "kind").alias("h"), "kind"))["kind"].alias("kind"), F.count("*").alias("n_possible"))
+
+
+@query(f"""WITH {OBJ}, p AS (SELECT *, list_filter([1, 3, 2, 4], lambda c: (visibility + c) % 2 = 0)[1] AS camera FROM obj) SELECT scene, frame, camera, array_to_string(list(obj || ': ' || split(cls, '.')[-1] || CASE WHEN vx * vx + vy * vy > 0 THEN ' (moving)' ELSE '' END ORDER BY obj), '; ') AS objects FROM p GROUP BY ALL""")
+def h22_camera_groups(spark, sf_dir):
+    """The objects of a frame as text (H23), by the first camera of a list of preferences that sees them."""
+    o = objects(spark, sf_dir)
+    camera = F.filter(F.array(*map(F.lit, (1, 3, 2, 4))), lambda c: (F.col("visibility") + c) % 2 == 0)[0].alias("camera")
+    text = F.concat(F.col("obj").cast("string"), F.lit(": "), F.element_at(F.split("cls", r"\."), -1), F.when(F.expr("vx * vx + vy * vy > 0"), " (moving)").otherwise(""))
+    g = o.select("scene", "frame", camera, F.struct("obj", text.alias("t")).alias("v")).groupBy("scene", "frame", "camera").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    return g.select("scene", "frame", "camera", F.array_join(F.transform("vs", lambda v: v["t"]), "; ").alias("objects"))
+
+
+@query(f"""WITH {RELS}, o AS (SELECT scene, frame, count(*) AS n, array_to_string(list('- ' || split(cls, '.')[-1] || ' at (' || x || ', ' || y || ')' ORDER BY obj), chr(10)) AS objects FROM obj GROUP BY ALL), u AS (SELECT scene, frame, src, tgt, dir FROM rels WHERE d2 <= 900),
+ l AS (SELECT scene, frame, count(*) AS k, array_to_string(list('- ' || src || ' ' || dir || ' ' || tgt ORDER BY src, tgt), chr(10)) AS lines FROM u GROUP BY ALL)
+ SELECT o.scene, o.frame, n, coalesce(k, 0) AS n_relations, 'Objects:' || chr(10) || objects || chr(10) || 'Relationships:' || chr(10) || coalesce(lines, '- none') AS prompt FROM o LEFT JOIN l ON l.scene = o.scene AND l.frame = o.frame""")
+def q15_caption_prompts(spark, sf_dir):
+    """The prompt for a caption of each frame: objects, and relations of those within 30 m."""
+    o, r, _ = parts(spark, sf_dir)
+    line = F.concat(F.lit("- "), F.element_at(F.split("cls", r"\."), -1), F.lit(" at ("), "x", F.lit(", "), "y", F.lit(")"))
+    texts = o.groupBy("scene", "frame").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("obj", line.alias("t")))).alias("v"))
+    rel = r.where("d2 <= 900").groupBy("scene", "frame").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("src", "tgt", F.concat(F.lit("- "), "src", F.lit(" "), "dir", F.lit(" "), "tgt").alias("t")))).alias("w"))
+    got = texts.join(rel, ["scene", "frame"], "left")
+    prompt = F.concat(F.lit("Objects:\n"), F.array_join(F.transform("v", lambda x: x["t"]), "\n"), F.lit("\nRelationships:\n"), F.coalesce(F.array_join(F.transform("w", lambda x: x["t"]), "\n"), F.lit("- none")))
+    return got.select("scene", "frame", "n", F.coalesce("k", F.lit(0).cast("long")).alias("n_relations"), prompt.alias("prompt"))
+
+
+@query(f"""WITH {RELS}, c AS (SELECT scene, frame, count(*) AS n_objects FROM obj GROUP BY ALL), l AS (SELECT scene, frame, count(*) AS n FROM rels GROUP BY ALL) SELECT c.scene, count(*) AS n_frames, count(*) FILTER (c.frame % 7 <> 3) AS n_success, CAST(floor(sum(n_objects) * 10.0 / count(*)) AS BIGINT) AS objects_tenths,
+ CAST(floor(sum(coalesce(n, 0)) * 10.0 / count(*)) AS BIGINT) AS relations_tenths FROM c LEFT JOIN l ON l.scene = c.scene AND l.frame = c.frame GROUP BY c.scene""")
+def a17_caption_statistics(spark, sf_dir):
+    """Frames of a scene with a caption (here six of seven), and their mean numbers of objects and relations."""
+    o, r, _ = parts(spark, sf_dir)
+    c = o.groupBy("scene", "frame").agg(F.count("*").alias("n_objects")).join(r.groupBy("scene", "frame").agg(F.count("*").alias("n")), ["scene", "frame"], "left").na.fill(0, ["n"])
+    mean = lambda x: F.floor(F.sum(x) * F.lit(10.0) / F.count("*"))
+    return c.groupBy("scene").agg(F.count("*").alias("n_frames"), F.count_if(F.expr("frame % 7 <> 3")).alias("n_success"), mean("n_objects").alias("objects_tenths"), mean("n").alias("relations_tenths"))
+
+
+@query(f"""WITH {OBJ}, i AS (SELECT scene, obj, arg_min(cls, frame) AS cls, arg_min(visibility, frame) AS camera, count(*) AS n FROM obj WHERE visibility >= 2 GROUP BY ALL) SELECT camera, cls, count(*) AS n_instances, count(*) * 1000 // sum(count(*)) OVER (PARTITION BY camera) AS per_mille, CAST(sum(n) * 10 // count(*) AS BIGINT) AS frames_tenths
+ FROM i GROUP BY camera, cls QUALIFY row_number() OVER (PARTITION BY camera ORDER BY count(*) DESC, cls) <= 10""")
+def a18_annotation_statistics(spark, sf_dir):
+    """The ten commonest classes of the instances that each camera sees, their share and mean number of frames."""
+    i = h21_instances(spark, sf_dir).groupBy("camera", "cls").agg(F.count("*").alias("n_instances"), F.sum("n_frames").alias("f"))
+    w = Window.partitionBy("camera")  # a camera has as many rows as there are classes
+    got = i.withColumns({"t": F.sum("n_instances").over(w), "r": F.row_number().over(w.orderBy(F.desc("n_instances"), "cls"))}).where("r <= 10")
+    return got.select("camera", "cls", "n_instances", F.expr("n_instances * 1000 div t").alias("per_mille"), F.expr("f * 10 div n_instances").alias("frames_tenths"))
+
+
+_Q = {c: f"{f}(radians(heading / 2))" for c, f in (("w", "cos"), ("z", "sin"))}
+_EGO = f"(2 * {_Q['w']} * {_Q['w']} - 1)", f"(2 * {_Q['w']} * {_Q['z']})"
+
+
+@query(f"WITH {OBJ} SELECT scene, frame, obj, CAST(round(({_EGO[0]} * x + {_EGO[1]} * y) * 100) AS BIGINT) AS forward_cm, CAST(round(({_EGO[0]} * y - {_EGO[1]} * x) * 100) AS BIGINT) AS left_cm, CAST(round(degrees(atan2(2 * {_Q['w']} * {_Q['z']}, 1 - 2 * {_Q['z']} * {_Q['z']})) * 4) AS BIGINT) AS yaw_quarters FROM obj")
+def geo13_ego_frame(spark, sf_dir):
+    """Positions turned back by an upright quaternion into the frame of its bearer, and the quaternion's yaw (G-12)."""
+    o = objects(spark, sf_dir)
+    return o.selectExpr("scene", "frame", "obj", f"CAST(round(({_EGO[0]} * x + {_EGO[1]} * y) * 100) AS BIGINT) AS forward_cm", f"CAST(round(({_EGO[0]} * y - {_EGO[1]} * x) * 100) AS BIGINT) AS left_cm", f"CAST(round(degrees(atan2(2 * {_Q['w']} * {_Q['z']}, 1 - 2 * {_Q['z']} * {_Q['z']})) * 4) AS BIGINT) AS yaw_quarters")
+
+
+_IN_BOX = "abs(cos(radians(b.heading)) * (p.x - b.x) + sin(radians(b.heading)) * (p.y - b.y)) <= 6.1 AND abs(cos(radians(b.heading)) * (p.y - b.y) - sin(radians(b.heading)) * (p.x - b.x)) <= 3.1 AND abs(p.z - b.z) <= 1.6"
+
+
+@query(f"WITH {OBJ} SELECT p.scene, p.frame, p.obj, max(b.obj) AS box, count(*) AS n_boxes FROM obj p JOIN obj b ON b.scene = p.scene AND b.frame = p.frame AND b.obj <> p.obj AND {_IN_BOX} GROUP BY ALL")
+def geo14_points_in_boxes(spark, sf_dir):
+    """Points (here the other objects of a frame) in turned boxes; of several boxes the last one has the point."""
+    o = objects(spark, sf_dir).select("scene", "frame", "obj", "x", "y", "z", "heading")
+    got = o.alias("p").join(o.alias("b"), ["scene", "frame"]).where(f"p.obj <> b.obj AND {_IN_BOX}")
+    return got.groupBy("scene", "frame", F.col("p.obj").alias("obj")).agg(F.max("b.obj").alias("box"), F.count("*").alias("n_boxes"))
+
+
+_CORNERS = [(dx, dy, dz) for dx in (-2, 2) for dy in (-1, 1) for dz in (0, 1)]
+_AHEAD = lambda c: f"(x + 40 + {c[0]} * cos(radians(heading)) - {c[1]} * sin(radians(heading)))"
+_U = lambda c: f"(960 - 800 * (y + {c[0]} * sin(radians(heading)) + {c[1]} * cos(radians(heading))) / {_AHEAD(c)})"
+_V = lambda c: f"(540 - 800 * (z + {c[2]} - 1.5) / {_AHEAD(c)})"
+_BOX2 = {"u0": f"least({', '.join(map(_U, _CORNERS))})", "u1": f"greatest({', '.join(map(_U, _CORNERS))})", "v0": f"least({', '.join(map(_V, _CORNERS))})", "v1": f"greatest({', '.join(map(_V, _CORNERS))})"}
+_SHOWN = "u1 > 0 AND u0 < 1920 AND v1 > 0 AND v0 < 1080"
+
+
+@query(f"WITH {OBJ}, b AS (SELECT scene, frame, obj, {', '.join(f'{e} AS {a}' for a, e in _BOX2.items())} FROM obj) SELECT scene, frame, obj, {_SHOWN} AS visible, CASE WHEN {_SHOWN} THEN CAST(round(greatest(u0, 0.0)) AS BIGINT) END AS left_px, CASE WHEN {_SHOWN} THEN CAST(round(least(u1, 1920.0)) AS BIGINT) END AS right_px FROM b")
+def geo15_projected_boxes(spark, sf_dir):
+    """The eight corners of each object's box in the picture of a camera 40 m behind, cut to it; null outside."""
+    b = objects(spark, sf_dir).selectExpr("scene", "frame", "obj", *[f"{e} AS {a}" for a, e in _BOX2.items()])
+    return b.selectExpr("scene", "frame", "obj", f"{_SHOWN} AS visible", f"CASE WHEN {_SHOWN} THEN CAST(round(greatest(u0, CAST(0 AS DOUBLE))) AS BIGINT) END AS left_px", f"CASE WHEN {_SHOWN} THEN CAST(round(least(u1, CAST(1920 AS DOUBLE))) AS BIGINT) END AS right_px")
