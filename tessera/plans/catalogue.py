@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import aggregates, driving, evaluation, files, questions, slots, spatial, temporal, texts, validation, words  # noqa: E402, F401
+from . import aggregates, driving, evaluation, files, questions, render, slots, spatial, temporal, texts, validation, words  # noqa: E402, F401
