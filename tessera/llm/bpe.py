@@ -411,25 +411,46 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+class LibraryBpe(WordBpe):
+    """The same with the tokenizers library as the encoder of new pieces and odd words: both are encoded alike alone and in a text."""
+
+    def _encode_pieces(self, a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, ends = a.tobytes(), np.cumsum(sizes).tolist()
+        got = self.lib.encode_batch([raw[s:e].decode() for s, e in zip([0, *ends], ends)], add_special_tokens=False)
+        ids = [x.ids for x in got]
+        return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int32)
+
+    def _odd_ids(self, word: str) -> np.ndarray:
+        if word not in self.odd:
+            if len(self.odd) > CACHE_PIECES // 8:
+                self.odd = {}
+            got = np.array(self.lib.encode(word, add_special_tokens=False).ids, np.int32)
+            if len(word) >= 1000:
+                return got
+            self.odd[word] = got
+        return self.odd[word]
+
+
 @lru_cache(1)
 def _byte_of() -> dict[str, int]:
     return {c: b for b, c in enumerate(_byte_chars())}
 
 
 @lru_cache(2)
-def load(path: str) -> WordBpe:
+def load(path: str, library: bool = False) -> WordBpe:
     """One encoder for each worker process and file."""
-    return WordBpe(path)
+    return LibraryBpe(path) if library else WordBpe(path)
 
 
-def encode_batches(batches, path: str, text: int):
+def encode_batches(batches, path: str, text: int, library: bool = False):
     """Of each Arrow batch: its other columns and the list of ids, in slices of bounded length."""
-    bpe = load(path)
+    bpe = load(path, library)
     for batch in batches:
         texts = batch.column(text).to_pylist()
         for s, e in slices([len(t or "") for t in texts], SLICE):
             yield batch.slice(s, e - s), bpe.encode_batch([t or "" for t in texts[s:e]])
-    bpe.forget()
+    if not library:  # whose ids are dear: they stay for the worker's next task
+        bpe.forget()
 
 
 def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> byt
     src = docs.where(F.col("doc_id").isin(low)).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        for rows, ids in encode_batches(batches, path, 1):
+        for rows, ids in encode_batches(batches, path, 1, library=True):
             cut = [_pack(x[: 4 * DICT_IDS] + end_id.to_bytes(4, "little"), width) for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["x"])
 
@@ -70,8 +70,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> byt
 
 
 def write_token_store(docs: DataFrame, where: str, path: str, end_id: int = 2) -> None:
-    """Encode every whole text of docs (doc_id, text; null text: no ids), append end_id and write the store.
+    """Encode every whole text of docs (doc_id, text; null text: no ids) with the tokenizers library, append end_id and write the store.
 
+    Each worker has the library encode a piece once and keeps its ids; whole texts through it would take five times as long.
     Texts are encoded and compressed where they are read; only frames are shuffled, to buckets of the doc_id order."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -85,7 +86,7 @@ def write_token_store(docs: DataFrame, where: str, path: str, end_id: int = 2) -
 
     def frames(batches):
         coder, end = _coder(dictionary, True), end_id.to_bytes(4, "little")
-        for rows, ids in encode_batches(batches, path, 1):
+        for rows, ids in encode_batches(batches, path, 1, library=True):
             key = rows.column(0)
             bucket = np.where(np.asarray(key.is_null()), 0, np.searchsorted(bounds, key.fill_null(0).to_numpy(zero_copy_only=False)))
             n = pa.array([len(x) // 4 + 1 for x in ids], pa.int64())
@@ -167,7 +168,11 @@ def get_document(spark: SparkSession, where: str, doc_id: int) -> list[np.ndarra
 
 
 def op5_tokens(docs: DataFrame, path: str | None = None, where: str | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, all from a store written to and read back from the shared folder."""
+    """doc_id, start, n_tokens, ids_crc32, all from a store written to and read back from the shared folder.
+
+    Null and empty texts have the end id only; null doc_ids come first and ties are ordered by their packed ids; repeated rows are
+    documents of their own; texts are whole however long; other columns take no part, whatever their names; an empty table gives no
+    rows."""
     spark = docs.sparkSession
     where = where or new_path(spark, "token_store")
     write_token_store(docs, where, path or tokenizer_path())
