@@ -72,7 +72,7 @@ def s11_sighting_names(spark, sf_dir):
 @query(f"WITH {ACTS} SELECT event_id, slot AS date, replace(split_part(clip, '.', 2), '.', '') AS start, split_part(clip, '.', 4) AS site, camera FROM acts")
 def s12_clip_addresses(spark, sf_dir):
     a = rows(spark, sf_dir, "acts").select("event_id", F.concat(F.lit("https://a.org/x/"), "clip").alias("value"))
-    return files.clip_names(a).join(a, "value").select("event_id", "date", "start", "site", "camera")
+    return files.clip_names(a).select("event_id", "date", "start", "site", "camera")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS person, CASE WHEN p_partkey % 3 = 0 THEN 'wearing ' || p_brand END AS gpt, coalesce(CASE WHEN p_partkey % 2 = 0 THEN 'blue' END, 'unknown') AS upper, 'G' || p_size || ',G' || (p_size + 100) AS cameras FROM part")

@@ -121,14 +121,21 @@ def set01_operations(spark, sf_dir):
     return sides.agg(F.count_if(F.expr("side in (1, 3)")).alias("n_left"), F.count_if(F.expr("side = 3")).alias("n_both"), F.count_if(F.expr("side = 1")).alias("n_only"), (F.count_if(F.expr("side = 2")) == 0).alias("is_subset"), F.count("*").alias("n_union"))
 
 
-_CAMS_OF = f"{ACTS}, ac AS (SELECT slot, activity, list_sort(list(DISTINCT camera)) AS cams FROM acts GROUP BY ALL), al AS (SELECT slot, list_sort(list(DISTINCT camera)) AS cameras FROM acts GROUP BY slot)"
+_CAMS_OF = f"{ACTS}, hr AS (SELECT * REPLACE (slot || '.' || (start_ms // 14400000) AS slot) FROM acts), ac AS (SELECT slot, activity, list_sort(list(DISTINCT camera)) AS cams FROM hr GROUP BY ALL), al AS (SELECT slot, list_sort(list(DISTINCT camera)) AS cameras FROM hr GROUP BY slot)"
+
+
+def quarters(spark, sf_dir):
+    """Events in slots of four hours."""
+    return acts(spark, sf_dir).withColumn("slot", F.concat_ws(".", "slot", F.expr("start_ms div 14400000").cast("string")))
+
+
 _Q8 = "list_transform(list_sort([{'h': md5('42::' || ac.slot || '::' || activity || '::' || c), 'c': c} FOR c IN cameras IF NOT list_contains(cams, c)]), lambda v: v.c)[1:3]"
 
 
 @query(f"WITH {_CAMS_OF}, q AS (SELECT ac.slot, activity, cams[1] AS answer, {_Q8} AS others FROM ac JOIN al ON al.slot = ac.slot WHERE len(cams) <= 3) SELECT slot, activity, 'Which camera captures a person ' || {lower_first(w.gerund_phrase(DUCK, 'activity'))} || '?' AS question, answer, array_to_string(others, ',') AS others FROM q WHERE len(others) >= 2")
 def q08_which_camera(spark, sf_dir):
     """Activities of three cameras at most, against cameras that have none of them."""
-    a = acts(spark, sf_dir)
+    a = quarters(spark, sf_dir)
     ac = a.groupBy("slot", "activity").agg(F.array_sort(F.collect_set("camera")).alias("cams")).where("size(cams) <= 3")
     al = a.groupBy("slot").agg(F.collect_set("camera").alias("cameras"))
     by_hash = F.array_sort(F.transform(F.array_except("cameras", "cams"), lambda c: F.struct(F.md5(F.concat_ws("::", F.lit("42"), "slot", "activity", c)).alias("h"), c.alias("c"))))
@@ -146,7 +153,7 @@ def q08_activity_identification(spark, sf_dir):
 @query(f"WITH {_CAMS_OF} SELECT slot, activity, array_to_string(cams[1:2], ' and ') AS pair, len(cams) AS n FROM ac WHERE len(cams) >= 2")
 def q08_multi_camera(spark, sf_dir):
     """Activities that two cameras confirm."""
-    ac = acts(spark, sf_dir).groupBy("slot", "activity").agg(F.array_sort(F.collect_set("camera")).alias("cams")).where("size(cams) >= 2")
+    ac = quarters(spark, sf_dir).groupBy("slot", "activity").agg(F.array_sort(F.collect_set("camera")).alias("cams")).where("size(cams) >= 2")
     return ac.select("slot", "activity", F.array_join(F.slice("cams", 1, 2), " and ").alias("pair"), F.size("cams").cast("long").alias("n"))
 
 

@@ -49,11 +49,11 @@ def w11_entities(spark, sf_dir):
     return e.select("slot", "camera", "actor", F.col("primary").alias("primary_activity"), "kind", "n_events", F.expr(f"kind = 'person' and not {w.is_visual(SPARK, 'description')}").alias("fallback"))
 
 
-@query(f"""WITH {PLACED} SELECT a.event_id AS a_event_id, b.event_id AS b_event_id FROM pl a JOIN pl b ON a.slot = b.slot AND a.activity = b.activity AND a.camera <> b.camera AND b.start_ms - a.start_ms BETWEEN 0 AND 8000 AND (b.start_ms > a.start_ms OR b.event_id > a.event_id)
+@query(f"""WITH {PLACED.replace("pl AS (SELECT *,", "pl AS (SELECT * REPLACE (split_part(activity, '_', 1) AS activity),")} SELECT a.event_id AS a_event_id, b.event_id AS b_event_id FROM pl a JOIN pl b ON a.slot = b.slot AND a.activity = b.activity AND a.camera <> b.camera AND b.start_ms - a.start_ms BETWEEN 0 AND 8000 AND (b.start_ms > a.start_ms OR b.event_id > a.event_id)
  WHERE (a.camera IN ('G300', 'G301') AND b.camera IN ('G300', 'G301')) OR coalesce((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25, b.start_ms - a.start_ms <= 3000)""")
 def j08_same_events(spark, sf_dir):
-    """Pairs of events that are one, by overlapping views, place and time."""
-    return slots.duplicates(placed(spark, sf_dir))
+    """Pairs of events of one kind of actor that are one, by overlapping views, place and time."""
+    return slots.duplicates(placed(spark, sf_dir).withColumn("activity", F.split_part("activity", F.lit("_"), F.lit(1))))
 
 
 @query()

@@ -93,9 +93,10 @@ def sighting_names(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def clip_names(lines: DataFrame, value: str = "value") -> DataFrame:
-    """date, start, end, site, camera of clip names or addresses date.start.end.site.camera(.r13).avi or .mp4."""
+    """The columns of lines, and date, start, end, site, camera of clip names or addresses date.start.end.site.camera(.r13).avi or .mp4;
+    other lines are left out."""
     parts = r"([0-9]{4}-[0-9]{2}-[0-9]{2})\.([0-9]{2}-[0-9]{2}-[0-9]{2})\.([0-9]{2}-[0-9]{2}-[0-9]{2})\.([a-z]+)\.(G[0-9]+)\."
-    return lines.select(value, *[F.regexp_extract(value, parts, i).alias(n) for i, n in enumerate(("date", "start", "end", "site", "camera"), 1)]).where("camera <> ''")
+    return lines.select("*", *[F.regexp_extract(value, parts, i).alias(n) for i, n in enumerate(("date", "start", "end", "site", "camera"), 1)]).where("camera <> ''")
 
 
 def parse_persons(texts: DataFrame) -> DataFrame:
