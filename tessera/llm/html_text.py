@@ -19,11 +19,12 @@ from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import drop_written, slices, small_batches, written
 
 #: A subtree is template from this many pages of its host, and this share of them, on.
 LEAST_PAGES, LEAST_SHARE = 3, 0.3
@@ -57,11 +58,11 @@ PARTS = frozenset("a area bar block body bottom box btn button buttons card clos
 # Those of them that tell a reader's comment from an article.
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
-# Possessive runs: no text makes a pattern go back over what it read.
-OPEN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?", re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
-PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+# Possessive runs: no text makes a pattern go back over what it read.  The last part is a tag that never ends.
+TAG = r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
+TOKEN = re.compile(rf"{OTHER}|{TAG}|<(?=/?[a-zA-Z])", re.S)
+PLAIN = re.compile(rf"{OTHER}|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?=/?[a-zA-Z])", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -83,7 +84,7 @@ def parse(html: str) -> Node:
     root = Node("html")
     stack, at, n = [root], 0, len(html)
     open_: Counter = Counter()
-    tags = TAG
+    tokens = TOKEN
 
     def close(k: int) -> None:
         for x in stack[k:]:
@@ -91,22 +92,19 @@ def parse(html: str) -> Node:
         del stack[k:]
 
     while at < n:
-        s = OPEN.search(html, at)
-        if not s:
-            stack[-1].parts.append(html[at:])
-            break
-        if s.start() > at:
-            stack[-1].parts.append(html[at : s.start()])
-        if html[s.start() + 1] in "!?":
-            at = COMMENT.match(html, s.start()).end()
-            continue
-        m = tags.match(html, s.start())
-        if not m:
-            tags = PLAIN
-            m = tags.match(html, s.start())
+        m = tokens.search(html, at)
         if not m:
+            stack[-1].parts.append(html[at:])
             break
+        if m.start() > at:
+            stack[-1].parts.append(html[at : m.start()])
         at = m.end()
+        if not m[2]:
+            if m.end() == m.start() + 1:  # a tag that never ends, by its quotes or at all
+                if tokens is PLAIN:
+                    break
+                tokens, at = PLAIN, m.start()
+            continue
         tag = m[2].lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
@@ -287,69 +285,79 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _on_host(host: str, h: int) -> int:
-    """One number of a host and a hash."""
-    return _long(blake2b(h.to_bytes(8, "little", signed=True) + host.encode(), digest_size=8).digest())
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """host, page (hash), and of its template candidates: k (hash of host and subtree), h (hash), p and q (hashes with the place, or 0),
+    c (context), of every row (url, html): what is counted, as numbers, so that pages are read once for all counts."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for u, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                host = host_of(u)
+                salt = int.from_bytes(blake2b(host.encode(), digest_size=8).digest(), "little")
+                page, found = subtree_hashes(parse(html or ""))
+                nodes: list[list[int]] = []
+                for _, h, c in found:
+                    if h & 2:
+                        nodes[-1][3 if nodes[-1][2] else 2] = h
+                    else:
+                        k = ((h ^ salt) * 0x9E3779B97F4A7C15 ^ salt >> 7) & (1 << 64) - 1
+                        nodes.append([k - (k >> 63 << 64), h, 0, 0, c])
+                rows.append((host, page, *([x[i] for x in nodes] for i in range(5))))
+            types = (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["host", "page", "k", "h", "p", "q", "c"])
+
+    return pages.mapInArrow(run, "host string, page long, k array<bigint>, h array<bigint>, p array<bigint>, q array<bigint>, c array<bigint>")
 
 
 def template_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, hash of subtrees that recur on LEAST_PAGES different pages and LEAST_SHARE (inside articles INSIDE_SHARE) of the pages
     of their host, or keep their place on PLACED_PAGES of them.
 
-    The first pass counts rows and leaves hashes that can be template; the second counts different pages of those.  Counts are
+    The first count is of rows and leaves hashes that can be template; the second counts different pages of those.  Counts are
     combined before each shuffle, so a host with most pages is no hot task."""
-    from .common import written
-
-    src = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     spark = pages.sparkSession
-
-    def rows(batches):
-        for batch in batches:
-            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host = host_of(u)
-                mine = {_on_host(host, x) for _, x, _ in subtree_hashes(parse(h or ""))[1] if not x & 2}
-                yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64())], names=["k"])
-
-    seen = written(src.mapInArrow(_joined(rows), "k long").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("k"), "candidates")
+    subtrees = written(_subtrees(pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))), "subtrees")
+    seen = written(subtrees.select(F.explode(F.array_distinct("k")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("k"), "candidates")
     few = seen.count() <= BROADCAST_CANDIDATES
-    among = spark.sparkContext.broadcast(frozenset(r.k for r in seen.toLocalIterator()) if few else None)
+    among = spark.sparkContext.broadcast(np.sort(np.fromiter((r.k for r in seen.toLocalIterator()), np.int64)) if few else None)
 
     def run(batches):
         for batch in batches:
-            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host = host_of(u)
-                page, found = subtree_hashes(parse(h or ""))
-                some = among.value
-                kept = {i for i, x, _ in found if some is None or not x & 2 and _on_host(host, x) in some}
-                mine = [*{(x, c) for i, x, c in found if i in kept}, (None, page)]  # null stands for the page
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(mine), pa.string()), pa.array([x for x, _ in mine], pa.int64()), pa.array([c for _, c in mine], pa.int64())], names=["host", "hash", "context"])
-
-    counts = written(src.mapInArrow(_joined(run), "host string, hash long, context long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "counts")
+            flat = [batch.column(i).flatten().to_numpy() for i in range(2, 7)]
+            n = np.diff(batch.column(2).offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            k = flat[0]
+            if among.value is not None:
+                at = np.searchsorted(among.value, k)
+                kept = np.zeros(len(k), bool) if not len(among.value) else among.value[np.minimum(at, len(among.value) - 1)] == k
+            else:
+                kept = np.ones(len(k), bool)
+            rows = [np.arange(len(n))]  # a null hash stands for the page
+            hashes, contexts = [pa.nulls(len(n), pa.int64())], [batch.column(1)]
+            for h in flat[1:4]:
+                some = kept & ((h != 0) | (h is flat[1]))
+                rows.append(row[some])
+                hashes.append(pa.array(h[some]))
+                contexts.append(pa.array(flat[4][some]))
+            host = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([host, pa.concat_arrays(hashes), pa.concat_arrays(contexts)], names=["host", "hash", "context"])
+
+    counts = written(subtrees.mapInArrow(run, "host string, hash long, context long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("hash").isNull()), "counts")
     total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     share = F.when(F.col("hash").bitwiseAND(1) == 1, INSIDE_SHARE).otherwise(LEAST_SHARE) * F.col("pages")
     least = F.when(F.col("hash").bitwiseAND(2) == 2, F.lit(PLACED_PAGES)).otherwise(share)
-    return counts.where("hash is not null").join(total, "host").where(F.col("n") >= least).select("host", "hash")
-
-
-def _joined(rows):
-    """rows() with one batch out for each batch in."""
-
-    def run(batches):
-        for batch in batches:
-            got = list(rows([batch]))
-            if got:
-                yield pa.Table.from_batches(got).combine_chunks().to_batches()[0] if sum(x.num_rows for x in got) else got[0]
-
-    return run
+    out = written(counts.where("hash is not null").join(total, "host").where(F.col("n") >= least).select("host", "hash"), "template")
+    for d in (subtrees, seen, counts):
+        drop_written(d)
+    return out
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep and text of every page (null or empty html: empty text).  Repeated rows stay as they are."""
-    from .common import written
-
     spark = pages.sparkSession
     small_batches(spark)
-    template = written(template_hashes(pages, url, html), "template")
+    template = template_hashes(pages, url, html)
     src = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
     if template.count() <= BROADCAST_HASHES:
         by_host: dict[str, set[int]] = {}
