@@ -9,6 +9,8 @@ from .common import drop_written, written
 
 #: The two-star iteration ends far earlier; this only stops a defect from running for ever.
 MOST_ROUNDS = 60
+#: Links from which on hot nodes are looked for, and the share of links that makes a node hot.
+LARGE, HOT_SHARE = 1_000_000, 1 / 10_000
 
 
 def _state(e: DataFrame) -> tuple[int, int]:
@@ -16,10 +18,17 @@ def _state(e: DataFrame) -> tuple[int, int]:
     return r[0], r[1]
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """u, v and the least id m of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return pairs.join(least, "u")
+def _with_least(pairs: DataFrame, edges: int) -> DataFrame:
+    """u, v and the least id m of u and all its v.
+
+    The centre of a large star is a hot key: in a large graph the least ids of nodes with more than HOT_SHARE of all links (there are
+    at most twice 1 / HOT_SHARE of them) are sent to the links, which stay where they are."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    if edges < LARGE:
+        return pairs.join(least.drop("n"), "u")
+    hot = F.col("n") > HOT_SHARE * edges
+    few = F.broadcast(least.where(hot).select("u", "m"))
+    return pairs.join(few, "u").unionByName(pairs.join(few, "u", "left_anti").join(least.where(~hot).select("u", "m"), "u"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -36,8 +45,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         if step == MOST_ROUNDS:
             raise RuntimeError("components did not settle")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        star = _with_least(large)
+        large = _with_least(both, seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        star = _with_least(large, seen[0])
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "links")
         drop_written(e)
