@@ -34,9 +34,11 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str,
     return spread(left, "a").join(spread(right, "b"), [*keys, "__bucket"]).where((early > late) & (F.col("__bucket") == bucket(late))).drop("__bucket")
 
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key; a total order makes it definite."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key; a total order makes it definite.  Rows are combined before they are shuffled."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    least = F.min(F.struct(*order, *rest)).alias("m")
+    return df.groupBy(*keys).agg(least).select(*[c if c in keys else F.col(f"m.{c}").alias(c) for c in df.columns])
 
 
 def keep_first_long(events: DataFrame, longest_ms: int) -> DataFrame:
