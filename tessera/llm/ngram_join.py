@@ -47,6 +47,7 @@ WORDS, PART, WHOLE = 5, 75, 100
 POOL, BUCKET = 1_500_000, 500_000
 #: Postings packed together in a task, and what is packed of one: the low bits of its key, its set, that set's size, its place there.
 POSTINGS, POSTING = 400_000, np.dtype([("low", "<u4"), ("s", "<i8"), ("n", "<u4"), ("place", "<u4")])
+SALTED_POSTING = np.dtype([("key", "<i8"), ("s", "<i8"), ("n", "<u4"), ("place", "<u4")])
 #: Code points whose shingles are made at a time, and sets that a task remembers.
 SLICE, REMEMBERED = 500_000, 100_000
 #: Frequent shingles that order the lists: at least this count, and at most so many (16 bytes each, sent to all workers).
@@ -292,10 +293,10 @@ class Lister:
 
 
 def _postings(src: DataFrame, boundary: int, frequent: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """bucket, key (of a salted list, else null), packed: the postings of every set; sets that a task saw before are left out.
+    """bucket, salted, packed: the postings of every set; sets that a task saw before are left out.
 
     A bucket takes the keys with the same high bits, so that a list is in one bucket; a salted list, which holds more than one set
-    anyway, is dealt to buckets."""
+    anyway, is dealt to buckets by its sets, so that copies meet there."""
     shared = src.sparkSession.sparkContext.broadcast(frequent)
     bits = frequent[0]
 
@@ -308,13 +309,15 @@ def _postings(src: DataFrame, boundary: int, frequent: tuple[int, np.ndarray, np
         post = np.zeros(len(order), POSTING)
         post["low"], post["s"], post["n"], post["place"] = (prints & 0xFFFFFFFF)[order], s[plain][order], n[plain][order], place[plain][order]
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else [0]
-        rows += [(int(bucket[x]), None, post[x:y].tobytes()) for x, y in zip(edge, edge[1:])]
-        for k in np.unique(key[~plain]).tolist():
-            at = np.flatnonzero(~plain & (key == k))
-            post = np.zeros(len(at), POSTING)
-            post["s"], post["n"], post["place"] = s[at], n[at], place[at]
-            rows.append((int(s[at[0]]) % (1 << bits), k, post.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "key", "packed"])
+        rows += [(int(bucket[x]), False, post[x:y].tobytes()) for x, y in zip(edge, edge[1:])]
+        some = np.flatnonzero(often)
+        some = some[np.argsort(s[some] & (1 << bits) - 1, kind="stable")]
+        bucket = s[some] & (1 << bits) - 1
+        post = np.zeros(len(some), SALTED_POSTING)
+        post["key"], post["s"], post["n"], post["place"] = key[some], s[some], n[some], place[some]
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else [0]
+        rows += [(int(bucket[x]), True, post[x:y].tobytes()) for x, y in zip(edge, edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "salted", "packed"])
 
     def run(batches):
         lister, seen, parts, size = Lister(boundary, *shared.value), set(), [], 0
@@ -334,7 +337,7 @@ def _postings(src: DataFrame, boundary: int, frequent: tuple[int, np.ndarray, np
         if parts:
             yield packed(parts)
 
-    return src.select("text").mapInArrow(run, "bucket int, key long, packed binary")
+    return src.select("text").mapInArrow(run, "bucket int, salted boolean, packed binary")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -353,21 +356,26 @@ def _lists(postings: DataFrame) -> DataFrame:
         post = post[np.concatenate(([False], near)) | np.concatenate((near, [False]))]
         return of(post["low"].astype(np.int64) | bucket << 32, post)
 
+    def once(parts: list[bytes]):
+        post = np.frombuffer(b"".join(parts), SALTED_POSTING)
+        _, first = np.unique(post[["key", "s"]], return_index=True)
+        return of(post["key"][first], post[first])
+
     def run(batches):
-        now, parts = None, []
+        now, parts, salted = None, [], []
         for batch in batches:
-            for bucket, key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if key is not None:
-                    post = np.frombuffer(packed.as_buffer(), POSTING)
-                    yield of(np.full(len(post), key), post)
-                    continue
-                if bucket != now and parts:
-                    yield met(now, parts)
-                    parts = []
-                now = bucket
-                parts.append(packed.as_py())
+            for bucket, often, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != now:
+                    if parts:
+                        yield met(now, parts)
+                    if salted:
+                        yield once(salted)
+                    now, parts, salted = bucket, [], []
+                (salted if often else parts).append(packed.as_py())
         if parts:
             yield met(now, parts)
+        if salted:
+            yield once(salted)
 
     dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "key long, s long, n int, place int")
