@@ -37,7 +37,7 @@ def a05_avg_position(spark, sf_dir):
 
 
 @query("WITH " + EV + """, v AS (SELECT slot, camera_id, activity, count(*) AS n, min((start_ms, event_id)) AS f FROM ev WHERE activity <> 'error' GROUP BY ALL)
- SELECT slot, camera_id, activity AS winner, n * 100 // total AS percent FROM (SELECT *, sum(n)::BIGINT OVER (PARTITION BY slot, camera_id) AS total, row_number() OVER (PARTITION BY slot, camera_id ORDER BY n DESC, f) AS r FROM v) WHERE r = 1""".replace("sum(n)::BIGINT OVER (PARTITION BY slot, camera_id)", "CAST(sum(n) OVER (PARTITION BY slot, camera_id) AS BIGINT)"))
+ SELECT slot, camera_id, activity AS winner, n * 100 // total AS percent FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY slot, camera_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY slot, camera_id ORDER BY n DESC, f) AS r FROM v) WHERE r = 1""")
 def a08_majority_vote(spark, sf_dir):
     v = events_of(spark, sf_dir).where("activity <> 'error'").groupBy("slot", "camera_id", "activity").agg(F.count("*").alias("n"), F.min(F.struct("start_ms", "event_id")).alias("f"))
     best = F.min_by("activity", F.struct(-F.col("n"), "f")).alias("winner")

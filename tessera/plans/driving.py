@@ -309,8 +309,8 @@ def q12_comparative(spark, sf_dir):
 @query(f"""WITH {BOTH}{_STATE}{_ABSENT}{_ANN}, x AS {_least("ab", "scene", "frame, obj", "obj")}, ev1 AS (SELECT e.* FROM evt e JOIN st ON st.scene = e.scene AND e.obj <> st.src), y AS {_least("ev1", "scene", "obj, f0", "f0")}
  SELECT st.scene, st.dir, CASE st.dir WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' WHEN 'in_front' THEN 'behind' ELSE 'in front' END AS opposite,
  coalesce({_ground("y.cls", "ya")} || ' ' || y.activity, 'No other event occurs in this segment.') AS other_event,
- coalesce({_ground("coalesce(xa.cls, 'object')", "xa")}, '') AS ignored, CASE WHEN x.obj IS NULL THEN 'An object not visible in this segment.' ELSE {_ground("coalesce(xa.cls, 'object')", "xa")} END AS absent_object
- FROM st LEFT JOIN x ON x.scene = st.scene LEFT JOIN ann xa ON xa.scene = st.scene AND xa.obj = x.obj LEFT JOIN y ON y.scene = st.scene LEFT JOIN ann ya ON ya.scene = st.scene AND ya.obj = y.obj""".replace(""" coalesce(%s, '') AS ignored,""" % _ground("coalesce(xa.cls, 'object')", "xa"), ""))
+ CASE WHEN x.obj IS NULL THEN 'An object not visible in this segment.' ELSE {_ground("coalesce(xa.cls, 'object')", "xa")} END AS absent_object
+ FROM st LEFT JOIN x ON x.scene = st.scene LEFT JOIN ann xa ON xa.scene = st.scene AND xa.obj = x.obj LEFT JOIN y ON y.scene = st.scene LEFT JOIN ann ya ON ya.scene = st.scene AND ya.obj = y.obj""")
 def q13_distractors(spark, sf_dir):
     """Wrong answers for the chosen state of each scene: the opposite direction, another event, an object that is not there."""
     o, r, e = parts(spark, sf_dir)

@@ -86,7 +86,7 @@ def geo11_direction(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", geometry.direction(x, y).alias("direction"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey % 100 AS x, l_suppkey % 100 - 10 * (l_partkey % 100) // 10 AS y FROM lineitem".replace(" - 10 * (l_partkey % 100) // 10", ""))
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 100 AS x, l_suppkey % 100 AS y FROM lineitem")
 def geo02_ground_projection(spark, sf_dir):
     """A camera at height 1 that looks straight down projects its pixel plane on the ground unchanged (y and z turned)."""
     one, zero = F.lit(1.0), F.lit(0.0)
