@@ -30,13 +30,16 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     documents; columns beside doc_id and text take no part in the choice, and of rows equal in these any one stays."""
     groups = written(near_duplicates(docs), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
-    least = groups.where("group_id is not null").groupBy("group_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
     key = ["__id", "__null", "__hash"]
     names = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_hash").alias("__hash")]
+    least = groups.where("group_id is not null").groupBy("group_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
+    keys = groups.select(*names, F.col("group_id").isNull().alias("wordless")).groupBy(*key, "wordless").agg(F.count("*").alias("times"))
+    # written, so that joins with the texts go by known sizes; texts are shuffled only for rows that are there more than once
+    kept = written(keys.join(least.select(*names, F.lit(True).alias("first")), key, "left").where("wordless or first").select(*key, (F.expr("times > 1 and not wordless")).alias("again")), "kept")
     named = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).select(*docs.columns, *names)
-    worded = named.join(least.select(*names), key, "left_semi").dropDuplicates(key)
-    wordless = named.join(groups.where("group_id is null").select(*names).distinct(), key, "left_semi")
-    return worded.unionByName(wordless).select(docs.columns)
+    once = named.join(kept.where("not again"), key, "left_semi")
+    again = named.join(kept.where("again"), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(again).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows are named by a hash of doc_id and text, so a null or shared doc_id keeps no contaminated row and loses no clean one; null
     and empty texts stay, repeated rows stay or go together."""
     named = docs.withColumn("__row", F.xxhash64(F.lit("row"), "doc_id", F.col("text").cast("string")))
-    found = find_contamination(named.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
+    found = find_contamination(named.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row"))
+    found = written(found.distinct(), "contaminated")  # its size is known then, and the texts need not be shuffled if it is small
     return named.join(found, "__row", "left_anti").select(docs.columns)
 
 
