@@ -209,3 +209,56 @@ def test_empty_tables_give_no_rows(spark, name, tmp_path):
     for t in ("lineitem", "events", "part", "documents"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_counts_of_one_activity(spark):
+    sf = "/root/testdata/sf0.001"
+    acts = catalogue.QUERIES["s04_slot_events"](spark, sf).count()
+    got = catalogue.QUERIES["a02_dedup_counts"](spark, sf).collect()
+    clusters = {}
+    for r in catalogue.QUERIES["g02_event_clusters"](spark, sf).collect():
+        clusters.setdefault((r.slot, r.activity), set()).add(r.cluster)
+    assert {(r.slot, r.activity): r.n for r in got} == {k: len(v) for k, v in clusters.items() if 2 <= len(v) <= 20} and acts
+    assert all(r.question.startswith("How many times does someone perform the action of ") for r in got)
+
+
+def test_selected_pairs_reuse_no_activity(spark):
+    sf = "/root/testdata/sf0.01"
+    cand = [r.asDict() for r in catalogue.QUERIES["t01_best_pairs"](spark, sf).collect()]
+    want, used = set(), {}
+    for c in sorted(cand, key=lambda c: (c["slot"], -c["score_tenths"], c["gap_ms"], c["a_event_id"], c["b_event_id"])):
+        mine = used.setdefault(c["slot"], set())
+        if not {c["a_activity"], c["b_activity"]} & mine:
+            mine |= {c["a_activity"], c["b_activity"]}
+            want.add((c["a_event_id"], c["b_event_id"]))
+    assert {(r.a_event_id, r.b_event_id) for r in catalogue.QUERIES["g03_selected_pairs"](spark, sf).collect()} == want and want
+
+
+def test_diverse_groups_share_no_event(spark):
+    got = catalogue.QUERIES["g05_diverse_groups"](spark, "/root/testdata/sf0.01").collect()
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault(r.slot, []).append(r)
+    assert got and all(len(v) <= 2 and min(x.rank for x in v) == 1 for v in by_slot.values())
+
+
+def test_person_clusters_equal_union_find(spark):
+    sf = "/root/testdata/sf0.01"
+    links = catalogue.QUERIES["j04_person_handoffs"](spark, sf).where("confidence >= 70").collect()
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in links:
+        a, b = find((r.slot, r.a_camera, r.a_actor)), find((r.slot, r.b_camera, r.b_actor))
+        up[max(a, b)] = min(a, b)
+    groups = {}
+    for x in list(up):
+        groups.setdefault(find(x), set()).add(x)
+    want = sorted((g[0], len(v), len({x[1] for x in v}), min(f"{c}_actor_{a}" for _, c, a in v)) for g, v in groups.items() if len(v) >= 2 and len({x[1] for x in v}) >= 2)
+    got = catalogue.QUERIES["gr01_person_clusters"](spark, sf).collect()
+    assert sorted((r.slot, r.n, r.n_cameras, r.first_entity) for r in got) == want and want
