@@ -80,6 +80,12 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect garbage: what finished queries broadcast, and the classes generated for them, goes with their plans, on
+    the driver and on executors.  For operators of many queries, between rounds."""
+    spark._jvm.System.gc()
+
+
 def slices(lengths, limit: int = CHUNK):
     """(start, end) of consecutive rows whose lengths sum to about limit at most."""
     start = total = 0

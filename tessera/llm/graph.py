@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -13,9 +13,12 @@ MOST_ROUNDS = 60
 LARGE, HOT_SHARE = 1_000_000, 1 / 10_000
 
 
-def _state(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return r[0], r[1]
+def _kept(e: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The written links (u, v), with their number and a hash of them all, which the write observes.  Should a lost task count twice,
+    there is one round more."""
+    seen = Observation()
+    out = written(e.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")), "links")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def _with_least(pairs: DataFrame, edges: int) -> DataFrame:
@@ -37,8 +40,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternating large and small stars: each round points every node at the least node that it or its neighbours know, with
     least ids combined before they are shuffled; the table of each round, and the result, is written to the shared folder."""
     e = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(e, "links")
-    seen = _state(e)
+    e, seen = _kept(e)
     for step in range(MOST_ROUNDS + 1):
         if not seen[0]:
             break
@@ -48,9 +50,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = _with_least(both, seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         star = _with_least(large, seen[0])
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "links")
+        new, now = _kept(small)
         drop_written(e)
-        e, now = new, _state(new)
+        e = new
         if now == seen:
             break
         seen = now

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, slices, small_batches, written
+from .common import drop_written, release, slices, small_batches, written
 from .graph import connected_components
 from .hashing import mix, span_hashes
 
@@ -292,14 +292,11 @@ class Lister:
         return np.concatenate(key), np.concatenate(place), np.concatenate(count)
 
 
-def _postings(src: DataFrame, boundary: int, frequent: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+def _postings(src: DataFrame, boundary: int, bits: int, shared) -> DataFrame:
     """bucket, salted, packed: the postings of every set; sets that a task saw before are left out.
 
     A bucket takes the keys with the same high bits, so that a list is in one bucket; a salted list, which holds more than one set
     anyway, is dealt to buckets by its sets, so that copies meet there."""
-    shared = src.sparkSession.sparkContext.broadcast(frequent)
-    bits = frequent[0]
-
     def packed(parts: list[tuple]):
         key, often, s, n, place = (np.concatenate(c) for c in zip(*parts))
         rows, plain = [], ~often
@@ -479,6 +476,7 @@ def _links(lists: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
             found.append(verified(pairs, classes, src))
             drop_written(pairs)
             open_ = _in_components(open_, found)
+            release(open_.sparkSession)
             continue
         own = open_.groupBy("key", "comp").agg(F.count("*").cast("double").alias("k"))
         left = own.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"), F.max(F.struct("k", "comp"))["comp"].alias("top")).where("cross > 0")
@@ -499,6 +497,7 @@ def _links(lists: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
             break
         open_ = _in_components(now, found)
         drop_written(now)
+        release(open_.sparkSession)
         before = cross
     return _union(found) if found else lists.sparkSession.createDataFrame([], "u long, v long")
 
@@ -535,9 +534,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits, prints, counts = frequent_shingles(src, total)
     boundary = choose_boundary(sizes, 1 + float((counts.astype(float) ** 2).sum()) / max(1, total))
-    lists = written(_lists(_postings(src, boundary, (bits, prints, counts))), "lists")
+    shared = spark.sparkContext.broadcast((bits, prints, counts))
+    lists = written(_lists(_postings(src, boundary, bits, shared)), "lists")
+    shared.destroy()
+    release(spark)
     links = _links(lists, classes, src)
     drop_written(lists)
+    release(spark)
     comps = connected_components(links)
     label = classes.join(comps.withColumnRenamed("node", "s"), "s").groupBy("component").agg(F.min("rep").alias("least"))
     named = comps.join(label, "component").select(F.col("node").alias("s"), "least", F.col("component").alias("g"))
