@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -30,6 +31,8 @@ from .hashing import same_spans, span_hashes
 CACHE_PIECES = 500_000
 #: Code points worked on at a time; longer texts are cut at white space.
 SLICE = 1_000_000
+#: Pieces that the library encodes at a time.
+LIBRARY_BATCH = 1_000
 #: Fragments longer than this run merges from a heap, not in a matrix.
 MATRIX_LEN = 64
 NONE = np.int32(2**31 - 1)
@@ -414,10 +417,14 @@ class WordBpe:
 class LibraryBpe(WordBpe):
     """The same with the tokenizers library as the encoder of new pieces and odd words: both are encoded alike alone and in a text."""
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core; the library's threads cost time and memory
+        super().__init__(path)
+
     def _encode_pieces(self, a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, ends = a.tobytes(), np.cumsum(sizes).tolist()
-        got = self.lib.encode_batch([raw[s:e].decode() for s, e in zip([0, *ends], ends)], add_special_tokens=False)
-        ids = [x.ids for x in got]
+        words = [raw[s:e].decode() for s, e in zip([0, *ends], ends)]
+        ids = [x.ids for k in range(0, len(words), LIBRARY_BATCH) for x in self.lib.encode_batch(words[k : k + LIBRARY_BATCH], add_special_tokens=False)]
         return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int32)
 
     def _odd_ids(self, word: str) -> np.ndarray:
@@ -449,8 +456,7 @@ def encode_batches(batches, path: str, text: int, library: bool = False):
         texts = batch.column(text).to_pylist()
         for s, e in slices([len(t or "") for t in texts], SLICE):
             yield batch.slice(s, e - s), bpe.encode_batch([t or "" for t in texts[s:e]])
-    if not library:  # whose ids are dear: they stay for the worker's next task
-        bpe.forget()
+    bpe.forget()
 
 
 def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
