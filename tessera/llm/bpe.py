@@ -456,7 +456,8 @@ def encode_batches(batches, path: str, text: int, library: bool = False):
         texts = batch.column(text).to_pylist()
         for s, e in slices([len(t or "") for t in texts], SLICE):
             yield batch.slice(s, e - s), bpe.encode_batch([t or "" for t in texts[s:e]])
-    bpe.forget()
+    if not library:  # whose ids are dear: the bounded table stays for the worker's next task
+        bpe.forget()
 
 
 def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

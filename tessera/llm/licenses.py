@@ -4,7 +4,8 @@ A document's sentences, as lower-case words in one spelling, are mapped to ident
 of their words from every sentence start (after a full stop or a line break), so wrapped lines do not matter.  A sentence may have
 holes (<*>) for names and dates, of up to HOLE words of one sentence or line.  The sequence of identifiers is then matched against ordered rules: a rule's
 sentences must come in this order, with at most GAP unknown sentences between two of them; the longest rule that matches at a place
-wins.  A sentence beyond the gap is not lost: every licence has rules of single sentences too.
+wins.  A sentence beyond the gap is not lost where its licence has a rule of that sentence alone; a BSD grant without its conditions
+names no licence.
 """
 
 from __future__ import annotations
@@ -134,7 +135,6 @@ RULES = [
     ("Unlicense", ["unlicense", "unlicense-free"]),
     ("Unlicense", ["unlicense"]),
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-adverts", "bsd-names"]),
-    ("BSD", ["bsd-grant"]),
     *[(name, [f"ref:{name}"]) for name in NAMES],
 ]
 
