@@ -292,10 +292,15 @@ def h29_midpoint_distances(spark, sf_dir):
     return p.select("a_event_id", "b_event_id", F.expr("floor(sqrt((a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y)) * 10)").alias("dist_dm"))
 
 
+def _persons(spark, sf_dir):
+    """When each person was first and last seen by a camera of a slot."""
+    return acts(spark, sf_dir).where("activity like 'person_%'").groupBy("slot", "camera", "actor").agg(F.min("start_ms").alias("t0"), F.max("end_ms").alias("t1"))
+
+
 @query(f"WITH {ACTS}, e AS (SELECT slot, camera, actor, min(start_ms) AS t0, max(end_ms) AS t1 FROM acts WHERE activity LIKE 'person_%' GROUP BY ALL), l AS (SELECT a.slot, a.actor AS a_actor, b.actor AS b_actor, a.camera AS a_camera, b.camera AS b_camera, b.t0 - a.t1 AS gap_ms, greatest(40, 100 - CAST(round((b.t0 - a.t1) / 600.0) AS BIGINT)) AS confidence FROM e a JOIN e b ON a.slot = b.slot AND a.camera <> b.camera AND b.t0 - a.t1 BETWEEN 1000 AND 60000) SELECT * FROM l")
 def j04_person_handoffs(spark, sf_dir):
     """Handoffs of persons between cameras within a minute, with their confidence in hundredths."""
-    e = acts(spark, sf_dir).where("activity like 'person_%'").groupBy("slot", "camera", "actor").agg(F.min("start_ms").alias("t0"), F.max("end_ms").alias("t1"))
+    e = _persons(spark, sf_dir)
     p = band_join(e, e, ["slot"], "t1", "t0", 1_000, 60_000).where("a_camera <> b_camera")
     return p.select("slot", "a_actor", "b_actor", "a_camera", "b_camera", "gap_ms", F.greatest(F.lit(40).cast("long"), 100 - F.round(F.col("gap_ms") / F.lit(600.0)).cast("long")).alias("confidence"))
 
@@ -303,11 +308,10 @@ def j04_person_handoffs(spark, sf_dir):
 @query()
 def gr01_person_clusters(spark, sf_dir):
     """Clusters of sightings linked by handoffs of confidence 70 or more, of two cameras at least; named by their least sighting."""
-    from tessera.operators.graph import connected_components
+    from tessera.operators.sweeps import band_components
 
-    l = j04_person_handoffs(spark, sf_dir).where("confidence >= 70")
-    node = lambda s: F.xxhash64("slot", f"{s}_camera", f"{s}_actor")
-    names = l.select("slot", F.inline(F.array(*[F.struct(node(s).alias("node"), F.col(f"{s}_camera").alias("camera"), F.col(f"{s}_actor").alias("actor")) for s in "ab"]))).distinct()
-    c = connected_components(l.select(node("a").alias("u"), node("b").alias("v")))
-    g = c.join(names, "node").groupBy("component").agg(F.first("slot").alias("slot"), F.count("*").alias("n"), F.count_distinct("camera").alias("n_cameras"), F.min(F.concat_ws("_", "camera", F.lit("actor"), F.col("actor").cast("string"))).alias("first_entity"))
+    # a confidence of 70 is a gap of less than 30.5 steps of 600 ms
+    e = _persons(spark, sf_dir).withColumn("sighting", F.row_number().over(Window.partitionBy("slot").orderBy("camera", "actor")).cast("long"))
+    c = band_components(e, "slot", "camera", "sighting", "t1", "t0", 1_000, 18_299)
+    g = c.groupBy("slot", "component").agg(F.count("*").alias("n"), F.count_distinct("camera").alias("n_cameras"), F.min(F.concat_ws("_", "camera", F.lit("actor"), F.col("actor").cast("string"))).alias("first_entity"))
     return g.where("n >= 2 and n_cameras >= 2").drop("component")
