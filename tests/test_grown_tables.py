@@ -40,3 +40,28 @@ def test_questions_that_share_an_id(spark, name, tmp_path):
     """Ids are cut at six digits: 1234560 to 1234569 are all 123456, as far as they are of one category."""
     rows = some(300, 5, 200_000, ids=lambda i: 1_234_500 + i) + some(60, 6, ids=lambda i: 123_440 + i)
     same_as_sql(spark, tables(spark, tmp_path, rows), name)
+
+
+@pytest.mark.parametrize("name", ["gr01_components", "t02_topk_groups", "q02_ordering", "j17_between_triples"])
+@pytest.mark.parametrize("users", [3, 40])
+def test_dense_slots(spark, name, users, tmp_path):
+    """Slots of many events in a short time, and of three cameras only; the same second on several events."""
+    same_as_sql(spark, tables(spark, tmp_path, some(120, users, 300, users)), name)
+
+
+def test_components_of_slots_that_share_an_id(spark, tmp_path):
+    rows = [(1, 100, 1, "view", 1.0), (2, 105, 2, "view", 1.0), (2, 90_100, 1, "view", 1.0), (3, 90_105, 2, "view", 1.0), (3, 200_000, 5, "view", 1.0), (9, 300_000, 5, "view", 1.0)]
+    same_as_sql(spark, tables(spark, tmp_path, rows), "gr01_components")
+
+
+def test_capped_links_of_a_dense_slot_equal_one_fold(spark, tmp_path):
+    from tessera.operators.selection import at_most
+    from tessera.plans.temporal import events_of
+
+    folder = tables(spark, tmp_path, some(150, 9, 200))
+    ev = events_of(spark, folder).collect()
+    pairs = [{"gap": b.start_ms - a.end_ms, "a_event_id": a.event_id, "b_event_id": b.event_id} for a in ev for b in ev if a.camera_id != b.camera_id and 1_000 <= b.start_ms - a.end_ms <= 60_000]
+    take, state = at_most(2, "a_event_id", "b_event_id"), {}
+    want = {(p["a_event_id"], p["b_event_id"], p["gap"]) for p in sorted(pairs, key=lambda p: (p["gap"], p["a_event_id"], p["b_event_id"])) if take(state, p)}
+    got = catalogue.QUERIES["g01_capped_links"](spark, folder).collect()
+    assert {(r.a_event_id, r.b_event_id, r.gap_ms) for r in got} == want and len(got) == len(want) > 50
