@@ -65,3 +65,8 @@ def test_capped_links_of_a_dense_slot_equal_one_fold(spark, tmp_path):
     want = {(p["a_event_id"], p["b_event_id"], p["gap"]) for p in sorted(pairs, key=lambda p: (p["gap"], p["a_event_id"], p["b_event_id"])) if take(state, p)}
     got = catalogue.QUERIES["g01_capped_links"](spark, folder).collect()
     assert {(r.a_event_id, r.b_event_id, r.gap_ms) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_chains_of_events_without_an_id(spark, tmp_path):
+    rows = [(None if i % 4 == 0 else i, 100 + 5 * i, i, kind, 1.0) for i, kind in enumerate(["view", "click", "error", "signup", "view"])]
+    same_as_sql(spark, tables(spark, tmp_path, rows), "t02_topk_groups")
