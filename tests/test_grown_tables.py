@@ -70,3 +70,9 @@ def test_capped_links_of_a_dense_slot_equal_one_fold(spark, tmp_path):
 def test_chains_of_events_without_an_id(spark, tmp_path):
     rows = [(None if i % 4 == 0 else i, 100 + 5 * i, i, kind, 1.0) for i, kind in enumerate(["view", "click", "error", "signup", "view"])]
     same_as_sql(spark, tables(spark, tmp_path, rows), "t02_topk_groups")
+
+
+def test_links_of_events_without_an_id(spark, tmp_path):
+    rows = [(None, 100, 0, "view", 1.0), (None, 100, 8, "view", 1.0), (3, 110, 1, "view", 1.0), (4, 111, 2, "view", 1.0)]
+    got = catalogue.QUERIES["g01_capped_links"](spark, tables(spark, tmp_path, rows)).collect()
+    assert sorted((r.b_event_id, r.gap_ms) for r in got if r.a_event_id is None) == [(3, 9_000), (3, 9_000), (4, 10_000), (4, 10_000)] and len(got) == 4
