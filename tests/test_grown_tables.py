@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from tessera.operators import sweeps
 from tessera.plans import catalogue
+from tessera.plans import slots as plans
 
 RAW = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -76,3 +78,24 @@ def test_links_of_events_without_an_id(spark, tmp_path):
     rows = [(None, 100, 0, "view", 1.0), (None, 100, 8, "view", 1.0), (3, 110, 1, "view", 1.0), (4, 111, 2, "view", 1.0)]
     got = catalogue.QUERIES["g01_capped_links"](spark, tables(spark, tmp_path, rows)).collect()
     assert sorted((r.b_event_id, r.gap_ms) for r in got if r.a_event_id is None) == [(3, 9_000), (3, 9_000), (4, 10_000), (4, 10_000)] and len(got) == 4
+
+
+CHAINS = {"own": lambda i: i, "shared": lambda i: i % 25 + 100 * (i % 3), "missing": lambda i: None if i % 5 == 0 else i}
+
+
+@pytest.mark.parametrize("ids", CHAINS)
+def test_best_groups_are_those_of_all_chains(spark, ids, tmp_path):
+    """Of two slots, dense and sparse; a missing user has no camera and no description."""
+    rows = some(45, 4, 150, 24, CHAINS[ids]) + [(i, t + 90_000, u, k, v) for i, t, u, k, v in some(30, 8, 400, 24, CHAINS[ids])]
+    folder = tables(spark, tmp_path, [(i, t, None if n % 11 == 0 else u, k, v) for n, (i, t, u, k, v) in enumerate(rows)])
+    same_as_sql(spark, folder, "g04_ordering_groups")
+    all_ = sorted((r.slot, -r.score, r.events) for r in catalogue.QUERIES["g04_ordering_groups"](spark, folder).collect())
+    want = [r for slot in sorted({r[0] for r in all_}) for r in [r for r in all_ if r[0] == slot][:12]]
+    got = sweeps.best_groups(plans.placed(spark, folder), 12, 2_000, 60_000).collect()
+    assert [(r.slot, -r.score, r.events) for r in sorted(got, key=lambda r: (r.slot, r.rank))] == want and len(want) > 12
+
+
+def test_diverse_groups_of_a_dense_slot(spark, tmp_path):
+    """400 events a minute have over 10^10 chains, which are not made."""
+    got = catalogue.QUERIES["g05_diverse_groups"](spark, tables(spark, tmp_path, some(2_000, 3, 300, 80))).collect()
+    assert [(r.rank, r.score) for r in got][0] == (1, 43) and len(got) == 2 and not {*got[0].events.split(",")} & {*got[1].events.split(",")}
