@@ -99,3 +99,8 @@ def test_diverse_groups_of_a_dense_slot(spark, tmp_path):
     """400 events a minute have over 10^10 chains, which are not made."""
     got = catalogue.QUERIES["g05_diverse_groups"](spark, tables(spark, tmp_path, some(2_000, 3, 300, 80))).collect()
     assert [(r.rank, r.score) for r in got][0] == (1, 43) and len(got) == 2 and not {*got[0].events.split(",")} & {*got[1].events.split(",")}
+
+
+def test_ordering_questions_of_a_dense_slot(spark, tmp_path):
+    got = catalogue.QUERIES["q02_ordering_questions"](spark, tables(spark, tmp_path, some(2_000, 5, 300, 80))).collect()
+    assert len(got) == 2 and all(sorted(r.events.split(",")) == sorted(r.shown.split(",")) and len(set(r.options.split("|"))) == 4 for r in got)
