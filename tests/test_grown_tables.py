@@ -104,3 +104,11 @@ def test_diverse_groups_of_a_dense_slot(spark, tmp_path):
 def test_ordering_questions_of_a_dense_slot(spark, tmp_path):
     got = catalogue.QUERIES["q02_ordering_questions"](spark, tables(spark, tmp_path, some(2_000, 5, 300, 80))).collect()
     assert len(got) == 2 and all(sorted(r.events.split(",")) == sorted(r.shown.split(",")) and len(set(r.options.split("|"))) == 4 for r in got)
+
+
+def test_links_of_dense_slots(spark, tmp_path):
+    """Links of both directions and of several events of two actors; a missing user or id links nothing.  No pair of events is shuffled."""
+    rows = some(300, 6, 120, 24) + [(900 + i, t + 90_000, None if i % 3 == 0 else u, k, v) for i, t, u, k, v in some(60, 7, 90, 12)]
+    folder = tables(spark, tmp_path, [*rows, (None, 30, 1, "view", 1.0)])
+    same_as_sql(spark, folder, "gr05_undirected_links")
+    assert "Join" not in catalogue.QUERIES["gr05_undirected_links"](spark, folder)._jdf.queryExecution().toString()
