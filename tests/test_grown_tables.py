@@ -112,3 +112,16 @@ def test_links_of_dense_slots(spark, tmp_path):
     folder = tables(spark, tmp_path, [*rows, (None, 30, 1, "view", 1.0)])
     same_as_sql(spark, folder, "gr05_undirected_links")
     assert "Join" not in catalogue.QUERIES["gr05_undirected_links"](spark, folder)._jdf.queryExecution().toString()
+
+
+def test_pairs_tell_relations_by_bits(spark, tmp_path):
+    """All relations of activities, against SQL; none is looked up by names for each pair."""
+    from tessera.functions import wording
+
+    folder = tables(spark, tmp_path, some(200, 12, 300, 24))
+    same_as_sql(spark, folder, "h04_pair_gates")
+    assert "person_opens_trunk" not in catalogue.QUERIES["h04_pair_gates"](spark, folder)._jdf.queryExecution().analyzed().expressions().toString()
+    names = sorted({a for p in wording.related() for a in p} | {"person_walks"})
+    d = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    d = d.selectExpr("*", *[f"{c} AS {n}" for s in "ab" for n, c in wording.relation_bits(s, f"{s}_").items()])
+    assert d.where(f"NOT ({wording.relation('a', 'b')}) <=> ({wording.relation_of('a_', 'b_')})").isEmpty()
