@@ -125,3 +125,11 @@ def test_pairs_tell_relations_by_bits(spark, tmp_path):
     d = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     d = d.selectExpr("*", *[f"{c} AS {n}" for s in "ab" for n, c in wording.relation_bits(s, f"{s}_").items()])
     assert d.where(f"NOT ({wording.relation('a', 'b')}) <=> ({wording.relation_of('a_', 'b_')})").isEmpty()
+
+
+def test_overlaps_of_dense_slots(spark, tmp_path):
+    """Entities of hours and of a moment, with equal starts and a missing user; only one side of the join is spread over buckets."""
+    rows = some(250, 13, 60_000, 40) + [(1_000 + i, 500, u, "view", v) for i, (u, v) in enumerate([(8, 3.0), (16, 3.0), (24, 0.0), (None, 5.0), (32, -2.0)])]
+    folder = tables(spark, tmp_path, [*rows, *[(2_000 + u, 86_000, u, "view", 30.0) for u in range(0, 40, 3)]])
+    same_as_sql(spark, folder, "j07_overlap_pairs")
+    assert catalogue.QUERIES["j07_overlap_pairs"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
