@@ -95,6 +95,18 @@ def test_best_groups_are_those_of_all_chains(spark, ids, tmp_path):
     assert [(r.slot, -r.score, r.events) for r in sorted(got, key=lambda r: (r.slot, r.rank))] == want and len(want) > 12
 
 
+@pytest.mark.parametrize("entries", [sweeps.TABLE, 50])
+def test_all_groups_of_a_dense_slot(spark, entries, tmp_path):
+    """Scores from a table or, if it would be large, from the codes at hand; no chain is joined or shuffled."""
+    from tessera.operators.slots import ordering_groups
+
+    events = plans.placed(spark, tables(spark, tmp_path, [(i, t, None if i % 11 == 0 else u, k, v) for i, t, u, k, v in some(70, 15, 150, 24)]))
+    got = sweeps.all_groups(events, 2_000, 60_000, entries)
+    want = Counter((r.slot, ",".join(map(str, r.events)), ",".join(c for c in r.cameras if c), r.score) for r in ordering_groups(events, 2_000, 60_000).collect())
+    assert Counter((r.slot, r.events, r.cameras, r.score) for r in got.collect()) == want and len(want) > 100
+    assert catalogue.QUERIES["g04_ordering_groups"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapGroupsInArrow")
+
+
 def test_diverse_groups_of_a_dense_slot(spark, tmp_path):
     """400 events a minute have over 10^10 chains, which are not made; no chain scores over 43, and the best by ids share an event."""
     got = catalogue.QUERIES["g05_diverse_groups"](spark, tables(spark, tmp_path, some(2_000, 3, 300, 80))).collect()
