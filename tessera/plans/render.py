@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import wording as w
 from tessera.functions.dialect import DUCK, SPARK
+from tessera.operators import sweeps
 from tessera.operators.intervals import band_join
 from tessera.sources.adapters import table
 from tessera.sources.files import merged_right
@@ -104,10 +105,12 @@ _DTOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(to
 @query(f"WITH {ACTS}, t AS (SELECT slot, event_id, camera, start_ms, end_ms, {_DTOK} AS s FROM acts) SELECT a.event_id AS a_event_id, b.event_id AS b_event_id, len(list_intersect(a.s, b.s)) * 1000 // len(list_distinct(list_concat(a.s, b.s))) AS overlap_milli FROM t a JOIN t b ON a.slot = b.slot AND a.camera <> b.camera AND b.start_ms - a.end_ms BETWEEN 1000 AND 300000")
 def x03_description_overlap(spark, sf_dir):
     """Overlap of the words of two sightings' descriptions, without stop words and single letters."""
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("told"), "[^a-z0-9_ ]", " "), " +"), lambda t: (F.length(t) > 1) & ~t.isin(_STOP)))
-    t = acts(spark, sf_dir).select("slot", "event_id", "camera", "start_ms", "end_ms", words.alias("s"))
-    p = band_join(t, t, ["slot"], "end_ms", "start_ms", 1_000, 300_000).where("a_camera <> b_camera")
-    return p.select("a_event_id", "b_event_id", F.expr("size(array_intersect(a_s, b_s)) * 1000L div size(array_union(a_s, b_s))").alias("overlap_milli"))
+    import re
+
+    def words(told: str) -> list[str]:
+        return [t for t in re.sub("[^a-z0-9_ ]", " ", told.lower()).split(" ") if len(t) > 1 and t not in _STOP]
+
+    return sweeps.set_overlaps(acts(spark, sf_dir), "slot", "camera", "event_id", "told", words, "end_ms", "start_ms", 1_000, 300_000)
 
 
 @query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), m AS (SELECT a.k, b.k IS NOT NULL AS both_ FROM a LEFT JOIN b ON a.k = b.k)

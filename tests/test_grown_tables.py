@@ -107,6 +107,17 @@ def test_all_groups_of_a_dense_slot(spark, entries, tmp_path):
     assert catalogue.QUERIES["g04_ordering_groups"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapGroupsInArrow")
 
 
+def test_description_overlaps_of_dense_slots(spark, tmp_path):
+    """Across hours, with equal times and users and ids that are missing; words are not compared for each pair."""
+    rows = some(250, 16, 9_000, 40) + [(None if i % 2 else 900 + i, 3_590 + i, None if i % 3 == 0 else i, "view", 1.0) for i in range(24)]
+    folder = tables(spark, tmp_path, rows)
+    same_as_sql(spark, folder, "x03_description_overlap")
+    got = catalogue.QUERIES["x03_description_overlap"](spark, folder)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    all_, few = (Counter(map(tuple, sweeps.set_overlaps(plans.acts(spark, folder), "slot", "camera", "event_id", "told", str.split, "end_ms", "start_ms", 1_000, 300_000, n).collect())) for n in (sweeps.TABLE, 10))
+    assert all_ == few and len(all_) > 1_000
+
+
 def test_diverse_groups_of_a_dense_slot(spark, tmp_path):
     """400 events a minute have over 10^10 chains, which are not made; no chain scores over 43, and the best by ids share an event."""
     got = catalogue.QUERIES["g05_diverse_groups"](spark, tables(spark, tmp_path, some(2_000, 3, 300, 80))).collect()
