@@ -156,3 +156,34 @@ def test_overlaps_of_dense_slots(spark, tmp_path):
     folder = tables(spark, tmp_path, [*rows, *[(2_000 + u, 86_000, u, "view", 30.0) for u in range(0, 40, 3)]])
     same_as_sql(spark, folder, "j07_overlap_pairs")
     assert catalogue.QUERIES["j07_overlap_pairs"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+@pytest.mark.parametrize("ids", [1, 10**15])
+def test_distinct_episodes_of_dense_slots(spark, ids, tmp_path):
+    """Actors of one to four digits, negative ones, many that share no action, some without a user or action; texts that fit one block
+    of the hash and texts that don't.  No pair is a row: a join of the actors would have to sort them all."""
+    rows = some(600, 21, 40_000, 1_500) + [(2_000 + i, 90_000, -i if i % 3 else None, "view", 1.0) for i in range(60)] + [(None, 50 + i, 7 * i, "view", 1.0) for i in range(30)]
+    folder = tables(spark, tmp_path, [(i, t, None if u is None else u * ids, k, v) for i, t, u, k, v in rows])
+    same_as_sql(spark, folder, "j24_distinct_episodes")
+    assert "Join" not in catalogue.QUERIES["j24_distinct_episodes"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_least_pairs_of_any_items(spark):
+    """More items than a word has bits; slots where all share one, of one node and of names longer than a block."""
+    from hashlib import md5
+
+    rng = random.Random(4)
+    rows = [(s, i, rng.sample([f"x{k}" for k in range(150)], 3) + ["one"] * (s == "all")) for s in ("few", "all", "long" * 20) for i in range(90)] + [("single", 5, ["a"])]
+    got = {(r.slot, r.a, r.b) for r in sweeps.least_disjoint_pairs(spark.createDataFrame(rows, "slot string, n long, l array<string>"), "slot", "n", "l", "s").collect()}
+    want = {(s, *min((md5(f"s::{s}::{a}::{b}".encode()).hexdigest(), a, b) for t, a, x in rows for u, b, y in rows if t == u == s and a < b and not set(x) & set(y))[1:]) for s in ("few", "long" * 20)}
+    assert got == want
+
+
+def test_heads_of_hashes():
+    from hashlib import md5
+
+    from tessera.functions import md5_heads
+
+    texts = [f"{i:05}" for i in range(0, 99_999, 2)]
+    words = [int.from_bytes(b"ab::", "little"), *md5_heads.spelled([t.encode() + b"\x80" for t in texts], 0), *[0] * 11, 9 * 8, 0]
+    assert md5_heads.heads(words, len(texts)).tolist() == [int(md5(f"ab::{t}".encode()).hexdigest()[:8], 16) for t in texts]
