@@ -187,3 +187,16 @@ def test_heads_of_hashes():
     texts = [f"{i:05}" for i in range(0, 99_999, 2)]
     words = [int.from_bytes(b"ab::", "little"), *md5_heads.spelled([t.encode() + b"\x80" for t in texts], 0), *[0] * 11, 9 * 8, 0]
     assert md5_heads.heads(words, len(texts)).tolist() == [int(md5(f"ab::{t}".encode()).hexdigest()[:8], 16) for t in texts]
+
+
+def test_chains_of_ids_shared_by_slots_and_within_one(spark, tmp_path):
+    """Ids are shared by rows of one slot, of two, and of both; events that are one in either slot are in no chain of the other."""
+    rows = [(k % 18 + 18 * (k % 3), t, u, v, x) for k, t, u, v, x in some(60, 31, 120, 16)] + [(k % 18 + 18 * (k % 2), t + 90_000, u, v, x) for k, t, u, v, x in some(40, 32, 120, 16)]
+    folder = tables(spark, tmp_path, rows + [(500 + k, t, u, v, x) for k, t, u, v, x in some(30, 33, 120, 16)])
+    same_as_sql(spark, folder, "g04_ordering_groups")
+
+
+def test_ordering_questions_join_no_ids_that_no_slots_share(spark, tmp_path):
+    """The events are shuffled once by slot and once by id for the ids that slots share, not joined with all others in buckets."""
+    plan = catalogue.QUERIES["q02_ordering_questions"](spark, tables(spark, tmp_path, some(30, 34)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("Generate explode") == 1
