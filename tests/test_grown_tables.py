@@ -200,3 +200,19 @@ def test_ordering_questions_join_no_ids_that_no_slots_share(spark, tmp_path):
     """The events are shuffled once by slot and once by id for the ids that slots share, not joined with all others in buckets."""
     plan = catalogue.QUERIES["q02_ordering_questions"](spark, tables(spark, tmp_path, some(30, 34)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and plan.count("Generate explode") == 1
+
+
+ODD = [(None, 500, 3, "view", 0.0), (None, 500, 4, "view", 0.0), (7_001, 500, 5, "view", -45.0), (7_002, 500, None, "view", 1.0), (7_003, 460, 6, "view", None), (7_004, 85_990, 8, "view", 30.0), (7_005, 86_010, 9, "click", 1.0)]
+
+
+def test_overlaps_are_ranges(spark, tmp_path):
+    """Rows of lists as short as may be, and long ones; pairs are neither joined nor dealt to buckets."""
+    from tessera.plans.temporal import events_of
+    from tessera.sources.adapters import entity_view
+
+    folder = tables(spark, tmp_path, some(400, 41, 4_000, 120) + ODD)
+    same_as_sql(spark, folder, "j07_overlap_pairs")
+    assert "Join" not in catalogue.QUERIES["j07_overlap_pairs"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    rows = entity_view(events_of(spark, folder))
+    few, all_ = (Counter(map(tuple, sweeps.overlapping_pairs(rows, "slot", "camera_id", "actor_id", "first_ms", "last_ms", *n).collect())) for n in ((3, 2), (10**6, 10**6)))
+    assert few == all_ and len(all_) > 100
