@@ -216,3 +216,14 @@ def test_overlaps_are_ranges(spark, tmp_path):
     rows = entity_view(events_of(spark, folder))
     few, all_ = (Counter(map(tuple, sweeps.overlapping_pairs(rows, "slot", "camera_id", "actor_id", "first_ms", "last_ms", *n).collect())) for n in ((3, 2), (10**6, 10**6)))
     assert few == all_ and len(all_) > 100
+
+
+def test_triples_are_ranges(spark, tmp_path):
+    """Across hours, with equal times, events of no length or less, ids and users that are missing; no pair of events is joined."""
+    from tessera.plans.temporal import events_of
+
+    folder = tables(spark, tmp_path, some(120, 42, 300, 20) + [(500 + i, 3_500 + t / 2, u, k, v) for i, t, u, k, v in some(80, 43, 400, 9)] + ODD)
+    same_as_sql(spark, folder, "j17_between_triples")
+    assert "Join" not in catalogue.QUERIES["j17_between_triples"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    few, all_ = (Counter(map(tuple, sweeps.between_triples(events_of(spark, folder), 120_000, n).collect())) for n in (1, 10**6))
+    assert few == all_ and len(all_) > 1_000
