@@ -227,3 +227,13 @@ def test_triples_are_ranges(spark, tmp_path):
     assert "Join" not in catalogue.QUERIES["j17_between_triples"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     few, all_ = (Counter(map(tuple, sweeps.between_triples(events_of(spark, folder), 120_000, n).collect())) for n in (1, 10**6))
     assert few == all_ and len(all_) > 1_000
+
+
+@pytest.mark.parametrize("days", [1, 9])
+def test_chains_deal_events_once(spark, days, tmp_path):
+    """Rows are copied only if there are fewer slots than cores, and dealt by id only if ids have several rows."""
+    rows = [(1_000 * d + i, t + 86_400 * d, u, k, v) for d in range(days) for i, t, u, k, v in some(24, d, 120, 16)]
+    folder = tables(spark, tmp_path, [(None, *r[1:]) if r[0] % 7 == 0 else r for r in rows])
+    same_as_sql(spark, folder, "g04_ordering_groups")
+    plan = catalogue.QUERIES["g04_ordering_groups"](spark, folder)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Generate explode") == (days == 1) and plan.toString().count("Window") == 0
